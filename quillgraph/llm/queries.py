@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm.common import table
+from quillgraph.llm.minhash import similar_pairs
 from quillgraph.llm.quality import score_quality
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_quality(table(spark, sf_dir, "documents"))
+    """The documents that the classifier keeps, with their scores."""
+    return score_quality(table(spark, sf_dir, "documents")).where("keep = 1")
 
 
-QUERIES = {"op6_quality": op6_quality}
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op6_quality": op6_quality,
+    "op8_fingerprints": op8_fingerprints,
+}
 ORACLES: dict[str, str] = {}
