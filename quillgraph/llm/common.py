@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -126,24 +127,58 @@ def encoder(path: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken"):
     return tiktoken.Encoding("quill-" + name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-#: Pieces longer than this are cut before BPE, whose time grows with the square of a piece's length.
+#: Runs longer than this are cut before BPE, whose time grows with the square of a piece's length.
 _LONG = re.compile(r"\S{2000,}|\s{2000,}")
+#: Where a single space does not begin a piece of its own: beside other white space, or at the end.
+_IRREGULAR = re.compile(r"\s\s|\s\Z")
 
 
-def encode(text: str | None, path: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> np.ndarray:
-    """uint16 ids of a text. A run of over 2000 non-spaces (or spaces) is encoded in parts of 1000 characters; decoding gives the text back either way."""
+class _Chunks(dict):
+    """text up to the next space -> its ids as bytes, kept while a Python worker lives; emptied when it grows past `most` chunks."""
+
+    def __init__(self, path: str, name: str, most: int = 400_000):
+        super().__init__()
+        self.core = encoder(path, name)._core_bpe
+        self.most = most
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        v = self[chunk] = array("H", self.core.encode_ordinary(" " + chunk)).tobytes()
+        return v
+
+
+@lru_cache(maxsize=4)
+def _chunks(path: str, name: str) -> _Chunks:
+    return _Chunks(path, name)
+
+
+def encode_bytes(text: str | None, path: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> bytes:
+    """The ids of a text as little-endian 16-bit numbers, the same as encoding it at once; decoding gives the text back.
+
+    The pattern of the vocabulary begins a new piece at every single space between other characters, so such a text is
+    encoded chunk by chunk with a cache. A run of over 2000 non-spaces (or spaces) is cut into parts of 1000 characters.
+    """
     if not text:
-        return np.empty(0, dtype=np.uint16)
-    enc = encoder(path, name)
+        return b""
+    core = encoder(path, name)._core_bpe
     if _LONG.search(text) is None:
-        return enc.encode_to_numpy(text).astype(np.uint16)
+        if _IRREGULAR.search(text) is None:
+            first, *rest = text.split(" ")
+            return array("H", core.encode_ordinary(first)).tobytes() + b"".join(map(_chunks(path, name).__getitem__, rest))
+        return np.array(core.encode_ordinary(text), dtype=np.uint16).tobytes()
     parts, at = [], 0
     for m in _LONG.finditer(text):
         parts.append(text[at : m.start()])
         parts += [text[i : min(i + 1000, m.end())] for i in range(m.start(), m.end(), 1000)]
         at = m.end()
     parts.append(text[at:])
-    return np.concatenate([enc.encode_to_numpy(p).astype(np.uint16) for p in parts if p])
+    return b"".join(np.array(core.encode_ordinary(p), dtype=np.uint16).tobytes() for p in parts if p)
+
+
+def encode(text: str | None, path: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> np.ndarray:
+    """encode_bytes() as an array of uint16."""
+    return np.frombuffer(encode_bytes(text, path, name), dtype=np.uint16)
 
 
 def connected_groups(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

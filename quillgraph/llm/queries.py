@@ -4,22 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgraph.llm.chosen import near_duplicates
+from quillgraph.llm.coder import write_blocks
 from quillgraph.llm.common import table
+from quillgraph.llm.fmindex import leaked_spans
 from quillgraph.llm.minhash import similar_pairs
+from quillgraph.llm.mixing import mixed_blocks
 from quillgraph.llm.quality import score_quality
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_blocks(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of documents that repeat benchmark passages."""
+    return leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, with their scores."""
     return score_quality(table(spark, sf_dir, "documents")).where("keep = 1")
 
 
+def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies, each with the document that stands for its group."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "documents"))
 
 
+def op9_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_blocks(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op5_decontaminate": op5_decontaminate,
     "op6_quality": op6_quality,
+    "op7_near": op7_near,
     "op8_fingerprints": op8_fingerprints,
+    "op9_binary": op9_binary,
 }
 ORACLES: dict[str, str] = {}
