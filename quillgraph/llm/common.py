@@ -199,7 +199,7 @@ def connected_groups(edges: DataFrame, a: str = "a", b: str = "b", rounds: int =
         m2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(m2.select("u", F.col("m").alias("v"))).distinct()
         e = checkpoint(small)
-        now = e.agg(F.count("*").alias("n"), F.expr("coalesce(sum(pmod(xxhash64(u, v), 1000000007)), 0)").alias("s"), F.expr("coalesce(sum(u), 0)").alias("t")).first()
+        now = e.agg(F.count("*").alias("n"), F.expr("coalesce(sum(pmod(xxhash64(u, v), 1000000007)), 0)").alias("s"), F.expr("coalesce(sum(pmod(u, 1000000007)), 0)").alias("t")).first()
         if seen == tuple(now):
             break
         seen = tuple(now)
