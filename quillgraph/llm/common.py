@@ -67,7 +67,7 @@ def words(text: str | None) -> list[str]:
 class WordHashes(dict):
     """word -> 64-bit hash, kept while a Python worker lives; emptied when it grows past `most` words."""
 
-    def __init__(self, most: int = 1_500_000):
+    def __init__(self, most: int = 400_000):
         super().__init__()
         self.most = most
 

@@ -19,7 +19,7 @@ from quillgraph.llm.common import WORD, word_hashes, words
 
 BITS = 16
 #: Words of a shard; bounds the memory of a task, whatever the partition holds.
-SHARD = 1 << 20
+SHARD = 1 << 18
 #: A suffix position in so many is kept.
 SAMPLE = 16
 

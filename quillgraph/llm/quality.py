@@ -87,7 +87,7 @@ class _Shapes(dict):
         self.mask = (1 << bits) - 1
 
     def __missing__(self, token: str) -> tuple[int, int]:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         shape = _SHAPE.sub(lambda m: ("U" if m[1].isupper() and len(m[1]) > 1 else "L" if m[1][0].isupper() else "l") if m[1] else "0" if m[2] else m[3], token)
         shape = re.sub(r"(.)\1+", r"\1", shape)[:12]
