@@ -124,21 +124,27 @@ def mixed_blocks(docs: DataFrame, weights: dict[str, float] | None = None, power
 
     def slots(it):
         for pdf in it:
+            out: dict[str, list] = {k: [] for k in ("shard", "slot", "source", "epoch", "index")}
             for j, s, n, first, at in zip(pdf["shard"].tolist(), pdf["source"], pdf["n"].tolist(), pdf["first"].tolist(), pdf["at"].tolist()):
-                q = np.arange(first, first + n)
                 size = sizes[s]
-                epoch = q // size
-                key = np.array([source_key(s, e, seed) for e in epoch.tolist()], dtype=np.uint64)
-                index = permuted(q % size, np.full(n, size), key)
+                epoch, place = np.divmod(np.arange(first, first + n), size)
+                known, which = np.unique(epoch, return_inverse=True)
+                key = np.array([source_key(s, e, seed) for e in known.tolist()], dtype=np.uint64)[which]
                 m = min(per_shard, total - j * per_shard)
-                slot = permuted(np.arange(at, at + n), np.full(n, m), np.full(n, source_key("", j, seed + 1), dtype=np.uint64))
-                yield pd.DataFrame({"shard": j, "slot": slot, "source": s, "epoch": epoch, "index": index})
+                out["index"].append(permuted(place, np.full(n, size), key))
+                out["slot"].append(permuted(np.arange(at, at + n), np.full(n, m), np.full(n, source_key("", j, seed + 1), dtype=np.uint64)))
+                out["epoch"].append(epoch)
+                out["shard"].append(np.full(n, j))
+                out["source"].append(np.full(n, s, dtype=object))
+            if len(pdf):
+                yield pd.DataFrame({k: np.concatenate(v) for k, v in out.items()})
 
     drawn = draws(spark, share, shards, per_shard, total, seed)
     drawn = drawn.withColumn("at", F.sum("n").over(W.partitionBy("shard").orderBy("source").rowsBetween(W.unboundedPreceding, -1))).fillna(0, ["at"])
-    wanted = drawn.mapInPandas(slots, "shard long, slot long, source string, epoch long, index long")
+    # few rows become many: spread them first, and never broadcast what they become
+    wanted = drawn.repartition(max(1, -(-shards // 64)), "shard").mapInPandas(slots, "shard long, slot long, source string, epoch long, index long")
     indexed = blocks.join(parts.select("source", "part", "base"), ["source", "part"]).select("source", (F.col("base") + F.col("seq")).alias("index"), "n_docs", "ids")
-    return wanted.join(indexed, ["source", "index"]).select("shard", "slot", "source", "epoch", "index", "n_docs", "ids")
+    return wanted.hint("merge").join(indexed, ["source", "index"]).select("shard", "slot", "source", "epoch", "index", "n_docs", "ids")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
