@@ -2,8 +2,9 @@
 
 Every block starts from an empty model. Before each id, order 2 and order 1 each name the id that followed the same two
 (one) ids last time, and order 0 spreads its mass over all 65,536 ids by how often they came so far. The three are mixed
-with weights that adapt within the block, for every state of confidence of order 2 and order 1. Blocks are independent,
-so numpy codes many of them in lockstep, one id of each at a time.
+with weights that adapt within the block, for every state of confidence of order 2 and order 1. The encoder knows a whole
+block, so it finds all predictions and weights of the block at once, by sorts and running sums; blocks are independent, so
+the range coder then takes one step of many blocks at a time. The decoder goes id by id, with many blocks in lockstep.
 """
 
 from __future__ import annotations
@@ -19,156 +20,150 @@ from quillgraph.llm.common import TOKENIZERS, encode_bytes, encoder
 
 #: Ids of a block, and blocks coded in lockstep; together they bound a task's memory.
 BLOCK = 8192
-LANES = 256
+LANES = 320
 ALPHABET = 1 << 16
 _SLOT, _ID = 15, 20
-#: Entries of the order-2 table of a block.
-_HASH = 14
-#: The order-0 table is renewed after so many ids.
-RENEW = frozenset((128, 512, 2048, 4096)) | frozenset(range(8192, 1 << 20, 8192))
-
-
-class _Model:
-    """The state of many blocks, side by side."""
-
-    def __init__(self, lanes: int):
-        self.n = lanes
-        self.row = np.arange(lanes)
-        self.follow1 = np.zeros(lanes * ALPHABET, dtype=np.uint16)
-        self.sure1 = np.zeros(lanes * ALPHABET, dtype=np.uint8)
-        self.follow2 = np.zeros(lanes << _HASH, dtype=np.uint16)
-        self.sure2 = np.zeros(lanes << _HASH, dtype=np.uint8)
-        self.prev = np.zeros(lanes, dtype=np.int64)
-        self.prev2 = np.zeros(lanes, dtype=np.int64)
-        # how often order 2, order 1 and order 0 were right, for 4 x 4 x 2 states
-        self.weights = np.tile(np.array([4, 4, 8], dtype=np.int64), (lanes * 32, 1))
-        self.counts = np.zeros((lanes, ALPHABET), dtype=np.uint16)
-        self.below = None
-        self.t = 0
-
-    def predict(self) -> None:
-        self.at1 = self.row * ALPHABET + self.prev
-        self.at2 = (self.row << _HASH) + (((self.prev2 * 40503 + self.prev * 60493) >> 5) & ((1 << _HASH) - 1))
-        self.guess1, self.guess2 = self.follow1[self.at1], self.follow2[self.at2]
-        self.c1, self.c2 = self.sure1[self.at1], self.sure2[self.at2]
-        self.same = self.guess1 == self.guess2
-        self.state = self.row * 32 + self.c2.astype(np.int64) * 8 + self.c1 * 2 + self.same
-        w = self.weights[self.state]
-        total = w.sum(axis=1)
-        self.f2 = (w[:, 0] << _SLOT) // (total + 1) + 1
-        self.f1 = ((w[:, 1] << _SLOT) // (total + 1)) + 1
-        self.f1 = np.where(self.f2 + self.f1 >= (1 << _SLOT), 1, self.f1)
-        self.f2 = np.minimum(self.f2, (1 << _SLOT) - 2)
-
-    def interval0(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where order 0 puts the ids x, of 2^_ID."""
-        x = x.astype(np.int64)
-        if self.below is None:
-            return x << (_ID - 16), np.full(self.n, 1 << (_ID - 16), dtype=np.int64)
-        lo = self.below[self.row, x].astype(np.int64)
-        return lo, self.below[self.row, x + 1] - lo
-
-    def find0(self, v: np.ndarray) -> np.ndarray:
-        """The ids whose intervals hold the points v."""
-        if self.below is None:
-            return v >> (_ID - 16)
-        return np.array([np.searchsorted(b, p, side="right") - 1 for b, p in zip(self.below, v)], dtype=np.int64)
-
-    def update(self, x: np.ndarray, slot: np.ndarray) -> None:
-        """slot: 0 where order 2 was right, 1 order 1, 2 neither."""
-        at = self.state
-        self.weights[at, slot] += 16
-        full = self.weights[at].sum(axis=1) > 4096
-        if full.any():
-            self.weights[at[full]] = (self.weights[at[full]] >> 1) + 1
-        hit1, hit2 = self.guess1 == x, self.guess2 == x
-        self.sure1[self.at1] = np.where(hit1, np.minimum(self.c1 + 1, 3), self.c1 >> 1)
-        self.sure2[self.at2] = np.where(hit2, np.minimum(self.c2 + 1, 3), self.c2 >> 1)
-        self.follow1[self.at1] = x
-        self.follow2[self.at2] = x
-        self.counts[self.row, x] += 1
-        self.prev2, self.prev = self.prev, x.astype(np.int64)
-        self.t += 1
-        if self.t in RENEW:
-            extra = ((1 << _ID) - ALPHABET) // self.t
-            below = np.zeros((self.n, ALPHABET + 1), dtype=np.uint32)
-            np.cumsum(self.counts * np.uint32(extra) + np.uint32(1), axis=1, dtype=np.uint32, out=below[:, 1:])
-            below[:, -1] = 1 << _ID
-            self.below = below
-
-    def shrink(self, n: int) -> None:
-        """Keeps the first n lanes."""
-        m = self.n
-        for k, per in (("follow1", ALPHABET), ("sure1", ALPHABET), ("follow2", 1 << _HASH), ("sure2", 1 << _HASH)):
-            setattr(self, k, getattr(self, k)[: n * per])
-        self.weights, self.counts = self.weights[: n * 32], self.counts[:n]
-        self.prev, self.prev2, self.row = self.prev[:n], self.prev2[:n], self.row[:n]
-        if self.below is not None:
-            self.below = self.below[:n]
-        assert n <= m
-        self.n = n
-
-
+#: The order-0 intervals are renewed after so many ids.
+RENEW = (128, 512, 2048, 4096)
 _TOP, _SHIFT = 62, 32
 _LOW = (1 << (_TOP - _SHIFT)) - 1
+#: Weights of order 2, order 1 and order 0 before anything was seen, and what each time adds.
+_FIRST, _MORE = (4, 4, 8), 16
+
+
+def _context2(p2: np.ndarray, p1: np.ndarray) -> np.ndarray:
+    return ((p2.astype(np.int64) * 40503 + p1.astype(np.int64) * 60493) >> 5) & (ALPHABET - 1)
+
+
+def _renewals(n: int) -> list[int]:
+    return [t for t in (*RENEW, *range(2 * RENEW[-1], n, 2 * RENEW[-1])) if t < n]
+
+
+def _below(seen: np.ndarray) -> np.ndarray:
+    """Lower ends of the order-0 intervals of all ids and of the end, after `seen` ids."""
+    extra = ((1 << _ID) - ALPHABET) // len(seen)
+    out = np.zeros(ALPHABET + 1, dtype=np.int64)
+    np.cumsum(np.bincount(seen, minlength=ALPHABET) * extra + 1, out=out[1:])
+    out[-1] = 1 << _ID
+    return out
+
+
+def _split(w2: np.ndarray, w1: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares, of 2^_SLOT, of order 2 and order 1; the rest, never empty, is order 0's."""
+    f2 = np.minimum((w2 << _SLOT) // (total + 1) + 1, (1 << _SLOT) - 2)
+    f1 = (w1 << _SLOT) // (total + 1) + 1
+    return f2, np.where(f2 + f1 >= (1 << _SLOT), 1, f1)
+
+
+def _history(x: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place: what followed its context last time (0 if nothing did), whether that is right, and whether it was right the last two times (2 + 1)."""
+    n = len(x)
+    order = np.argsort(context.astype(np.uint16), kind="stable")
+    k = context[order]
+    again = np.flatnonzero(k[1:] == k[:-1])
+    before = np.full(n + 1, n)  # place n stands for no place
+    before[order[again + 1]] = order[again]
+    before = before[:n]
+    padded = np.append(x, np.uint16(0))
+    guess = padded[before]
+    hit = np.append(guess == x, False)
+    twice = np.append(before, n)[before]
+    return guess, hit[:n], 2 * hit[before] + hit[twice]
+
+
+def _earlier(flag: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many flags were set before each place among the places of its state; order sorts by state, first is where each state begins."""
+    run = np.cumsum(flag[order])
+    run = np.append(0, run[:-1])
+    out = np.empty(len(flag), dtype=np.int64)
+    out[order] = run - run[first]
+    return out
+
+
+def _plan(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The coder's steps for a block: start and size of an interval of 2^bits, one step for each id and one more where order 0 has to tell it."""
+    n = len(x)
+    p1 = np.append(np.uint16(0), x[:-1])
+    p2 = np.append(np.uint16(0), p1[:-1])
+    g1, hit1, c1 = _history(x, p1)
+    g2, hit2, c2 = _history(x, _context2(p2, p1))
+    state = (c2 * 8 + c1 * 2 + (g1 == g2)).astype(np.uint8)
+    slot = np.where(hit2, 0, np.where(hit1, 1, 2))
+    order = np.argsort(state, kind="stable")
+    begins = np.searchsorted(state[order], np.arange(32))
+    first = begins[state[order]]
+    n2, n1 = _earlier(slot == 0, order, first), _earlier(slot == 1, order, first)
+    seen = np.empty(n, dtype=np.int64)
+    seen[order] = np.arange(n) - first
+    f2, f1 = _split(_FIRST[0] + _MORE * n2, _FIRST[1] + _MORE * n1, sum(_FIRST) + _MORE * seen)
+    miss = np.flatnonzero(slot == 2)
+    at = np.arange(n) + np.searchsorted(miss, np.arange(n))
+    m = n + len(miss)
+    start, size, bits = np.empty(m, dtype=np.int32), np.empty(m, dtype=np.int32), np.full(m, _SLOT, dtype=np.int8)
+    start[at] = np.where(slot == 0, 0, np.where(slot == 1, f2, f2 + f1))
+    size[at] = np.where(slot == 0, f2, np.where(slot == 1, f1, (1 << _SLOT) - f2 - f1))
+    to = at[miss] + 1
+    bits[to] = _ID
+    y = x[miss].astype(np.int64)
+    lo, width = y << (_ID - 16), np.full(len(y), 1 << (_ID - 16))
+    cuts = [*_renewals(n), n]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        i, j = np.searchsorted(miss, (a, b))
+        if i < j:
+            # the same intervals as _below(), for these ids alone
+            before, extra, z = np.sort(x[:a], kind="stable"), ((1 << _ID) - ALPHABET) // a, x[miss[i:j]]
+            lo[i:j] = y[i:j] + extra * np.searchsorted(before, z, side="left")
+            end = y[i:j] + 1 + extra * np.searchsorted(before, z, side="right")
+            width[i:j] = np.where(z == ALPHABET - 1, 1 << _ID, end) - lo[i:j]
+    start[to], size[to] = lo, width
+    return start, size, bits
 
 
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Codes of blocks that are in order of length, the longest first."""
-    lanes = len(blocks)
-    lengths = np.array([len(b) for b in blocks])
-    steps = int(lengths[0]) if lanes else 0
+    """Codes of blocks; the steps of all are taken together, the longest plan first."""
+    plans = [_plan(b) if len(b) else (np.empty(0, np.int32),) * 3 for b in blocks]
+    rank = sorted(range(len(blocks)), key=lambda i: -len(plans[i][0]))
+    lengths = np.array([len(plans[i][0]) for i in rank])
+    lanes, steps = len(blocks), int(lengths[0]) if len(lengths) else 0
     if not steps:
         return [b""] * lanes
-    ids = np.zeros((steps, lanes), dtype=np.uint16)
-    for i, b in enumerate(blocks):
-        ids[: len(b), i] = b
-    digits = np.zeros((lanes, steps + 4), dtype=np.int64)
-    used = np.zeros(lanes, dtype=np.int64)
+    start, size, bits = (np.zeros((steps, lanes), dtype=d) for d in (np.int32, np.int32, np.int8))
+    for lane, i in enumerate(rank):
+        n = len(plans[i][0])
+        start[:n, lane], size[:n, lane], bits[:n, lane] = plans[i]
+    room = int(bits.sum(axis=0, dtype=np.int64).max()) // _SHIFT + 8
+    del plans
+    digits = np.zeros(lanes * room, dtype=np.int64)
+    put = np.arange(lanes) * room
     low, span = np.zeros(lanes, dtype=np.int64), np.full(lanes, 1 << _TOP, dtype=np.int64)
-    model = _Model(lanes)
-
-    def narrow(start: np.ndarray, size: np.ndarray, bits: int, on: np.ndarray | slice) -> None:
-        r = span[on] >> bits
-        lo = low[on] + r * start
-        r *= size
-        out = np.flatnonzero(r < (1 << (_TOP - _SHIFT)))
-        if len(out):
-            where = out if isinstance(on, slice) else on[out]
-            digits[where, used[where]] = lo[out] >> (_TOP - _SHIFT)
-            used[where] += 1
-            lo[out] = (lo[out] & _LOW) << _SHIFT
-            r[out] <<= _SHIFT
-        low[on], span[on] = lo, r
-
+    active = np.searchsorted(-lengths, -np.arange(steps), side="left").tolist()
     for t in range(steps):
-        n = int(np.searchsorted(-lengths, -t, side="left"))
-        if n < model.n:
-            model.shrink(n)
-        x = ids[t, :n]
-        model.predict()
-        hit2 = model.guess2 == x
-        slot = np.where(hit2, 0, np.where(model.guess1 == x, 1, 2))
-        start = np.where(slot == 0, 0, np.where(slot == 1, model.f2, model.f2 + model.f1))
-        size = np.where(slot == 0, model.f2, np.where(slot == 1, model.f1, (1 << _SLOT) - model.f2 - model.f1))
-        narrow(start, size, _SLOT, slice(0, n))
-        miss = np.flatnonzero(slot == 2)
-        if len(miss):
-            lo0, f0 = model.interval0(x)
-            narrow(lo0[miss], f0[miss], _ID, miss)
-        model.update(x, slot)
-    rows = np.arange(lanes)
-    digits[rows, used] = low >> (_TOP - _SHIFT)
-    digits[rows, used + 1] = (low & _LOW) << (2 * _SHIFT - _TOP)
-    used += 2
+        n = active[t]
+        r = span[:n] >> bits[t, :n]
+        lo = low[:n]
+        lo += r * start[t, :n]
+        r *= size[t, :n]
+        span[:n] = r
+        out = (r < (1 << (_TOP - _SHIFT))).nonzero()[0]
+        if len(out):
+            v = lo[out]
+            where = put[out]
+            digits[where] = v >> (_TOP - _SHIFT)
+            put[out] = where + 1
+            lo[out] = (v & _LOW) << _SHIFT
+            span[out] <<= _SHIFT
+    digits[put] = low >> (_TOP - _SHIFT)
+    digits[put + 1] = (low & _LOW) << (2 * _SHIFT - _TOP)
+    used = put + 2 - np.arange(lanes) * room
+    digits = digits.reshape(lanes, room)
     for j in range(int(used.max()) - 1, 0, -1):  # carries that were put off
         digits[:, j - 1] += digits[:, j] >> _SHIFT
         digits[:, j] &= 0xFFFFFFFF
-    out = []
-    for d, n in zip(digits, used):
-        raw = d[:n].astype(">u4").tobytes().rstrip(b"\0")
-        out.append(raw)
-    return out
+    out_ = [b""] * lanes
+    for lane, i in enumerate(rank):
+        if lengths[lane]:
+            out_[i] = digits[lane, : used[lane]].astype(">u4").tobytes().rstrip(b"\0")
+    return out_
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -203,13 +198,17 @@ def _decode(codes: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
         digits[i, : len(d)] = d
     rows = np.arange(lanes)
     # the point less the lower end of the interval
-    point = (digits[:, 0] << (_TOP - _SHIFT)) | (digits[:, 1] >> (2 * _SHIFT - _TOP))
-    rest = digits[:, 1] & ((1 << (2 * _SHIFT - _TOP)) - 1)
+    keep = 2 * _SHIFT - _TOP
+    point = (digits[:, 0] << (_TOP - _SHIFT)) | (digits[:, 1] >> keep)
+    rest = digits[:, 1] & ((1 << keep) - 1)
     used = np.full(lanes, 2)
     span = np.full(lanes, 1 << _TOP, dtype=np.int64)
-    keep = 2 * _SHIFT - _TOP
     ids = np.zeros((steps, lanes), dtype=np.uint16)
-    model = _Model(lanes)
+    follow1, follow2 = (np.zeros((lanes, ALPHABET), dtype=np.uint16) for _ in range(2))
+    sure1, sure2 = (np.zeros((lanes, ALPHABET), dtype=np.uint8) for _ in range(2))
+    weights = np.tile(np.array(_FIRST, dtype=np.int64), (lanes, 32, 1))
+    prev, prev2 = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+    renew, below = set(_renewals(steps)), None
 
     def narrow(start: np.ndarray, size: np.ndarray, bits: int, on: np.ndarray) -> None:
         r = span[on] >> bits
@@ -226,27 +225,38 @@ def _decode(codes: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
         point[on], span[on] = p, r
 
     for t in range(steps):
-        n = int(np.searchsorted(-lengths, -t, side="left"))
-        if n < model.n:
-            model.shrink(n)
-        model.predict()
-        on = rows[:n]
+        on = rows[: int(np.searchsorted(-lengths, -t, side="left"))]
+        n = len(on)
+        if t in renew:
+            below = [_below(ids[:t, i]) for i in range(n)]
+        p1, p2 = prev[:n], _context2(prev2[:n], prev[:n])
+        g1, g2, c1, c2 = follow1[on, p1], follow2[on, p2], sure1[on, p1], sure2[on, p2]
+        state = c2.astype(np.int64) * 8 + c1 * 2 + (g1 == g2)
+        w = weights[on, state]
+        f2, f1 = _split(w[:, 0], w[:, 1], w.sum(axis=1))
         v = np.minimum(point[:n] // (span[:n] >> _SLOT), (1 << _SLOT) - 1)
-        slot = np.where(v < model.f2, 0, np.where(v < model.f2 + model.f1, 1, 2))
-        start = np.where(slot == 0, 0, np.where(slot == 1, model.f2, model.f2 + model.f1))
-        size = np.where(slot == 0, model.f2, np.where(slot == 1, model.f1, (1 << _SLOT) - model.f2 - model.f1))
-        narrow(start, size, _SLOT, on)
-        x = np.where(slot == 0, model.guess2, model.guess1)
+        slot = np.where(v < f2, 0, np.where(v < f2 + f1, 1, 2))
+        narrow(np.where(slot == 0, 0, np.where(slot == 1, f2, f2 + f1)), np.where(slot == 0, f2, np.where(slot == 1, f1, (1 << _SLOT) - f2 - f1)), _SLOT, on)
+        x = np.where(slot == 0, g2, g1)
         miss = np.flatnonzero(slot == 2)
         if len(miss):
-            v = np.zeros(n, dtype=np.int64)
-            v[miss] = np.minimum(point[miss] // (span[miss] >> _ID), (1 << _ID) - 1)
-            y = model.find0(v).astype(np.uint16)
-            x = np.where(slot == 2, y, x)
-            lo0, f0 = model.interval0(x)
-            narrow(lo0[miss], f0[miss], _ID, miss)
+            v = np.minimum(point[miss] // (span[miss] >> _ID), (1 << _ID) - 1)
+            if below is None:
+                y = v >> (_ID - 16)
+                lo, width = y << (_ID - 16), np.full(len(y), 1 << (_ID - 16))
+            else:
+                y = np.array([np.searchsorted(below[i], p, side="right") - 1 for i, p in zip(miss.tolist(), v.tolist())], dtype=np.int64)
+                lo = np.array([below[i][k] for i, k in zip(miss.tolist(), y.tolist())], dtype=np.int64)
+                width = np.array([below[i][k + 1] for i, k in zip(miss.tolist(), y.tolist())], dtype=np.int64) - lo
+            narrow(lo, width, _ID, miss)
+            x[miss] = y
         ids[t, :n] = x
-        model.update(x, slot)
+        weights[on, state, slot] += _MORE
+        sure1[on, p1] = (2 * (g1 == x) + (c1 >> 1)).astype(np.uint8)
+        sure2[on, p2] = (2 * (g2 == x) + (c2 >> 1)).astype(np.uint8)
+        follow1[on, p1] = x
+        follow2[on, p2] = x
+        prev2[:n], prev[:n] = prev[:n].copy(), x
     return [ids[:n, i].copy() for i, n in enumerate(lengths)]
 
 
