@@ -42,23 +42,38 @@ SPREAD = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:{_SEP}{{1,2}}(?:[^\W_]
 TOUCHED = re.compile(rf"(?<![^\W_])(?=[^\s]*[^\W\d_])(?:[^\W_]|[{_SIGNS}])(?:[^\W_]|[{_SIGNS}.\-_*~])*")
 _HINT = re.compile(rf"[\d{_SIGNS}]|[^\W\d_][.\-_*~]+[^\W_]|(.)\1\1")
 LONGEST = 64
+#: Characters that are counted at once.
+PIECE = 1 << 18
+
+
+def gram_counts(texts: list[str]) -> np.ndarray:
+    """How often each three symbols stand in a row in texts; breaks in a row count once."""
+    x = _TABLE[np.frombuffer("\0\0".join(["", *texts, ""]).encode("utf-16-le", "surrogatepass"), dtype=np.uint16)]
+    x = np.concatenate([[0, 0], x[np.r_[True, (x[1:] != 0) | (x[:-1] != 0)]], [0]])
+    return np.bincount((x[:-2] * SIZE + x[1:-1]) * SIZE + x[2:], minlength=SIZE**3)
 
 
 def char_counts(docs: DataFrame) -> DataFrame:
     """(gram, n): how often each three symbols stand in a row, over whole texts of all rows; gram is a number in base SIZE."""
 
     def run(it):
+        total = np.zeros(SIZE**3, dtype=np.int64)
+        held: list[str] = []
+        size = 0
         for pdf in it:
-            texts = [t for t in pdf["text"] if t]
-            if not texts:
-                continue
-            raw = np.frombuffer("\0\0".join(["", *texts, ""]).encode("utf-16-le", "surrogatepass"), dtype=np.uint16)
-            x = _TABLE[raw]
-            x = x[np.r_[True, (x[1:] != 0) | (x[:-1] != 0)]]  # breaks count once
-            x = np.r_[0, 0, x, 0]
-            n = np.bincount((x[:-2] * SIZE + x[1:-1]) * SIZE + x[2:], minlength=SIZE**3)
-            at = np.flatnonzero(n)
-            yield pd.DataFrame({"gram": at, "n": n[at]})
+            for t in pdf["text"]:
+                if not t:
+                    continue
+                for i in range(0, len(t), PIECE):  # a longer text is cut, where it has a break more
+                    held.append(t[i : i + PIECE])
+                    size += len(held[-1])
+                    if size >= PIECE:
+                        total += gram_counts(held)
+                        held, size = [], 0
+        if held:
+            total += gram_counts(held)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"gram": at, "n": total[at]})
 
     return docs.select("text").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -133,7 +148,7 @@ class Restorer:
     def read(self, token: str) -> str:
         got = self.cache.get(token)
         if got is None:
-            if len(self.cache) > 300_000:
+            if len(self.cache) > 100_000:
                 self.cache.clear()
             parts = [token[i : i + LONGEST] for i in range(0, len(token), LONGEST)]  # a lattice stays small; nothing is left out
             got = self.cache[token] = " ".join(decode(p, self.cost) for p in parts)
