@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _IV = (0x6A09E667, 0xBB67AE85, 0x3C6EF372, 0xA54FF53A, 0x510E527F, 0x9B05688C, 0x1F83D9AB, 0x5BE0CD19)
@@ -55,6 +56,10 @@ def blake3_hex(data: bytes) -> str:
     return struct.pack("<8I", *_tree(data, 0, 8)).hex()
 
 
-@F.pandas_udf("string")
-def blake3(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else blake3_hex(t.encode()))
+def blake3(column: Column) -> Column:
+    """Hex digest of a text column; null stays null."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else blake3_hex(t.encode()))
+
+    return F.pandas_udf(run, "string")(column)

@@ -40,9 +40,9 @@ class Store:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri() if tmp.isAbsoluteAndSchemeAuthorityNull() is False else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
         option = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        options = self.spark._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = option
         context.rename(self._fs.makeQualified(tmp), self._fs.makeQualified(self._path(f"{self.root}/{name}")), options)
 
