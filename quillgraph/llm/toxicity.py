@@ -47,10 +47,16 @@ PIECE = 1 << 18
 
 
 def gram_counts(texts: list[str]) -> np.ndarray:
-    """How often each three symbols stand in a row in texts; breaks in a row count once."""
-    x = _TABLE[np.frombuffer("\0\0".join(["", *texts, ""]).encode("utf-16-le", "surrogatepass"), dtype=np.uint16)]
-    x = np.concatenate([[0, 0], x[np.r_[True, (x[1:] != 0) | (x[:-1] != 0)]], [0]])
-    return np.bincount((x[:-2] * SIZE + x[1:-1]) * SIZE + x[2:], minlength=SIZE**3)
+    """How often each three symbols stand in a row in texts, each of which begins with two breaks; further breaks in a row are not counted."""
+    raw = np.frombuffer("".join(x for t in texts for x in ("\ue000", t)).encode("utf-16-le", "surrogatepass"), dtype=np.uint16)
+    x = _TABLE[raw]
+    x[raw == 0xE000] = -1
+    x = x[(x != 0) | (np.append(-1, x[:-1]) > 0)]
+    x = np.append(np.repeat(x, np.where(x < 0, 2, 1)), 0)
+    x[x < 0] = 0
+    n = np.bincount((x[:-2] * SIZE + x[1:-1]) * SIZE + x[2:], minlength=SIZE**3)
+    n.reshape(SIZE, SIZE, SIZE)[:, 0, 0] = 0
+    return n
 
 
 def char_counts(docs: DataFrame) -> DataFrame:
