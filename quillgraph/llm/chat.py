@@ -30,39 +30,37 @@ def reply_tree(conversations: DataFrame) -> DataFrame:
     return c.select("conv_id", F.col("msg_id").cast("long").alias("msg_id"), F.col("parent_id").cast("long").alias("parent_id"), "role", "text", F.when(F.col("role") == "assistant", words).otherwise(0).cast("long").alias("score"))
 
 
-def branch_conversations(messages: DataFrame, top: int = 2, rounds: int = 10_000) -> DataFrame:
+def branch_conversations(messages: DataFrame, top: int = 2) -> DataFrame:
     """(conv_id, rank, leaf_id, score, n_turns, text): the `top` best paths from root to leaf of every tree of
     messages(conv_id, msg_id, parent_id, role, text, score).
 
     The score of a path is the sum of its messages'; ties go to the lesser leaf. A message whose parent is null or isn't
-    there is a root; one that answers itself or stands on a cycle belongs to no path. Messages with a null conv_id or
-    msg_id are left out; of several under one id the least (parent, role, text) counts. A null role is 'user', a null
-    text '', a null score 0. Each message is written <|role|>, its text and a line end. An empty table gives no rows.
+    there is a root; one that answers itself, stands on a cycle or below one belongs to no path. Messages with a null
+    conv_id or msg_id are left out; of several under one id the least (parent, role, text) counts. A null role is 'user',
+    a null text '', a null score 0. Each message is written <|role|>, its text and a line end. An empty table gives no rows.
+
+    Each self-join doubles how far a message sees towards its root, so a tree of depth d takes about log2(d) rounds, and
+    the same jumps, taken from the longest down, list the messages of the chosen paths. Only ids move until the end.
     """
     m = messages.where("conv_id is not null and msg_id is not null").select("conv_id", "msg_id", "parent_id", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0)).cast("long").alias("score"))
     m = m.groupBy("conv_id", "msg_id").agg(F.min(F.struct("parent_id", "role", "text", "score")).alias("r")).select("conv_id", "msg_id", "r.*")
     m = checkpoint(m)
-    ids = m.select("conv_id", "msg_id", "parent_id", "score")
-    there = m.select("conv_id", F.col("msg_id").alias("parent_id"))
-    inner = ids.join(there, ["conv_id", "parent_id"], "left_semi")
-    frontier = ids.join(there, ["conv_id", "parent_id"], "left_anti").select("conv_id", F.col("msg_id").alias("leaf_id"), F.array("msg_id").alias("path"), "score")
-    leaves = ids.select("conv_id", F.col("msg_id").alias("leaf_id")).join(inner.select("conv_id", F.col("parent_id").alias("leaf_id")), ["conv_id", "leaf_id"], "left_anti")
-    children = inner.select("conv_id", F.col("parent_id").alias("leaf_id"), F.col("msg_id").alias("next"), F.col("score").alias("more"))
-    paths = None
-    for _ in range(rounds):
-        frontier = checkpoint(frontier)
-        if frontier.isEmpty():
-            break
-        paths = frontier if paths is None else paths.unionByName(frontier)
-        frontier = frontier.join(children, ["conv_id", "leaf_id"]).select("conv_id", F.col("next").alias("leaf_id"), F.concat("path", F.array("next")).alias("path"), (F.col("score") + F.col("more")).alias("score"))
-    else:
-        raise RuntimeError("a tree is deeper than the rounds allow")
-    if paths is None:
-        paths = frontier
-    whole = paths.join(leaves, ["conv_id", "leaf_id"], "left_semi")
-    ranked = whole.withColumn("rank", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("score"), "leaf_id"))).where(F.col("rank") <= top)
-    steps = ranked.select("conv_id", "rank", "leaf_id", "score", F.posexplode("path").alias("pos", "msg_id"))
-    said = steps.join(m.select("conv_id", "msg_id", "role", "text"), ["conv_id", "msg_id"]).select("conv_id", "rank", "leaf_id", F.col("score"), "pos", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n")).alias("line"))
+    there = m.select("conv_id", F.col("msg_id").alias("parent_id"), F.col("msg_id").alias("up"))
+    jump = checkpoint(m.select("conv_id", "msg_id", "parent_id", "score").join(there, ["conv_id", "parent_id"], "left").select("conv_id", "msg_id", "up", F.col("score").alias("sum"), F.lit(1).alias("hops")))
+    most = m.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    jumps = [jump]
+    while (1 << (len(jumps) - 1)) <= most and not jumps[-1].where("up is not null").isEmpty():
+        a, b = jumps[-1].alias("a"), jumps[-1].select("conv_id", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("hops").alias("hops2"))
+        jumps.append(checkpoint(a.join(b, ["conv_id", "up"], "left").select("conv_id", "msg_id", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0))).alias("sum"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"))))
+    whole = jumps[-1].where("up is null")  # what still sees something above it hangs on a cycle
+    leaves = whole.join(jump.where("up is not null").select("conv_id", F.col("up").alias("msg_id")), ["conv_id", "msg_id"], "left_anti")
+    ranked = leaves.select("conv_id", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("sum"), "msg_id")).alias("rank"), F.col("msg_id").alias("leaf_id"), F.col("sum").alias("score"), "hops").where(F.col("rank") <= top)
+    steps = checkpoint(ranked.select("conv_id", "rank", "leaf_id", "score", F.col("leaf_id").alias("msg_id"), F.col("hops").alias("pos")))
+    for k in range(len(jumps) - 2, -1, -1):
+        far = jumps[k].where("up is not null").select("conv_id", "msg_id", "up")
+        more = steps.join(far, ["conv_id", "msg_id"]).select("conv_id", "rank", "leaf_id", "score", F.col("up").alias("msg_id"), (F.col("pos") - (1 << k)).alias("pos"))
+        steps = checkpoint(steps.unionByName(more))
+    said = steps.join(m.select("conv_id", "msg_id", "role", "text"), ["conv_id", "msg_id"]).select("conv_id", "rank", "leaf_id", "score", "pos", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n")).alias("line"))
     grouped = said.groupBy("conv_id", "rank", "leaf_id", "score").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("lines"))
     return grouped.select("conv_id", "rank", "leaf_id", "score", F.size("lines").alias("n_turns"), F.array_join(F.col("lines.line"), "").alias("text"))
 

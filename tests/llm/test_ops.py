@@ -416,6 +416,14 @@ def test_chat_trees(spark):
     assert tree == {1: (None, 0), 2: (1, 2), 3: (1, 1), 4: (2, 0)}
 
 
+def test_deep_trees_take_few_rounds(spark):
+    rows = [(1, i, i - 1 if i else None, "user", str(i), 1) for i in range(300)] + [(1, 1000 + i, i, "user", "x", 0) for i in range(0, 300, 50)]
+    m = spark.createDataFrame(rows, "conv_id long, msg_id long, parent_id long, role string, text string, score long")
+    best, second = chat.branch_conversations(m).orderBy("rank").collect()
+    assert best["leaf_id"] == 299 and best["n_turns"] == 300 and best["text"] == "".join(f"<|user|>\n{i}\n" for i in range(300))
+    assert second["leaf_id"] == 1250 and second["score"] == 251 and second["n_turns"] == 252
+
+
 # the pipeline
 
 
