@@ -13,10 +13,11 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import WORD
+from quillgraph.llm.common import WORD, written
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâáçèéêëíîïñóôúùûœæ"
 #: Symbols of the model: 0 is every break, the last is any other letter.
@@ -42,6 +43,10 @@ SPREAD = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:{_SEP}{{1,2}}(?:[^\W_]
 TOUCHED = re.compile(rf"(?<![^\W_])(?=[^\s]*[^\W\d_])(?:[^\W_]|[{_SIGNS}])(?:[^\W_]|[{_SIGNS}.\-_*~])*")
 _HINT = re.compile(rf"[\d{_SIGNS}]|[^\W\d_][.\-_*~]+[^\W_]|(.)\1\1")
 LONGEST = 64
+#: Words of the lexicon that the character model is told of.
+LIKELY = 100
+#: Log-odds that the words of a text must reach together: 19 to 1 or so.
+BAR = 3.0
 #: Characters that are counted at once.
 PIECE = 1 << 18
 
@@ -179,12 +184,11 @@ class Restorer:
         return out
 
 
-def lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 20000, least: int = 4, share: float = 0.05, words: int = 5000) -> list[tuple[str, float]]:
-    """Words that tell toxic documents apart, with log-odds: at most `words` of those that stand in `least` toxic labelled
-    documents and in a `share` of them, are at least nine times as frequent there, and are so beyond chance.
-
-    The share keeps out words of one family of copies.
+def lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 10000, least: int = 5, words: int = 5000) -> list[tuple[str, float]]:
+    """Words that tell toxic documents apart, with the log-odds that a context of theirs is toxic: at most `words` of those that stand in `least` contexts of
+    toxic labelled documents or more, are at least nine times as frequent there, and are so beyond chance.
 
+    A word counts once for each pair of its neighbours, so that copies of one document, however many, count as one.
     fit_rows bounds the labelled documents that are learned from, chosen by a hash of the id.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -194,40 +198,38 @@ def lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 20000, least: in
 
     def run(it):
         for pdf in it:
-            c: dict[str, list[int]] = {}
+            rows: set[tuple[str, int, int]] = set()
             for t, x in zip(pdf["text"], pdf["toxic"]):
-                for w in set(WORD.findall(t.lower())) if t else ():
-                    if not w.isdigit():
-                        c.setdefault(w, [0, 0])[int(x > 0)] += 1
-            c[""] = [int((pdf["toxic"] <= 0).sum()), int((pdf["toxic"] > 0).sum())]
-            yield pd.DataFrame({"w": list(c), "clean": [v[0] for v in c.values()], "bad": [v[1] for v in c.values()]})
-
-    counted = d.mapInPandas(run, "w string, clean long, bad long").groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad")).persist()
-    total = counted.where("w = ''").first()
-    out: list[tuple[str, float]] = []
-    if total and total["bad"] and total["clean"]:
-        ratio = (F.col("bad") + 0.5) / (total["bad"] + 1.0) / ((F.col("clean") + 0.5) / (total["clean"] + 1.0))
-        floor = max(least, share * total["bad"])
-        p = total["bad"] / (total["bad"] + total["clean"])
-        n = F.col("bad") + F.col("clean")
-        # the likelihood ratio against chance, which among a million words stays below 30
-        chance = 2 * (F.col("bad") * F.log(F.col("bad") / (n * p)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - p)))).otherwise(0.0))
-        got = counted.where((F.col("w") != "") & (F.col("bad") >= floor)).withColumn("odds", F.log(ratio)).where((F.col("odds") >= math.log(9)) & (chance >= 30)).orderBy(F.desc("odds"), "w").limit(words).collect()
-        out = [(r["w"], float(r["odds"])) for r in got]
-    counted.unpersist()
-    return out
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20000, threshold: float = 0.5) -> DataFrame:
+                ws = WORD.findall(t.lower()) if t else []
+                for a, w, z in zip(["", *ws], ws, [*ws[1:], ""]):
+                    if len(w) > 2 and not w.isdigit():
+                        rows.add((w, xxhash.xxh3_64_intdigest(f"{a} {z}") - 2**63, int(x > 0)))
+            yield pd.DataFrame(list(rows), columns=["w", "context", "toxic"])
+
+    contexts = d.mapInPandas(run, "w string, context long, toxic int").groupBy("w", "context").agg(F.max("toxic").alias("bad"), F.min("toxic").alias("low"))
+    counted = written(contexts.groupBy("w").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("low")).alias("clean")), "words")
+    total = counted.agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean")).first()
+    if not total["bad"] or not total["clean"]:
+        return []
+    ratio = (F.col("bad") + 0.5) / (total["bad"] + 1.0) / ((F.col("clean") + 0.5) / (total["clean"] + 1.0))
+    p = total["bad"] / (total["bad"] + total["clean"])
+    n_ = F.col("bad") + F.col("clean")
+    # the likelihood ratio against chance, which among a million words stays below 30
+    chance = 2 * (F.col("bad") * F.log(F.col("bad") / (n_ * p)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n_ * (1 - p)))).otherwise(0.0))
+    got = counted.where(F.col("bad") >= least).withColumn("odds", F.log(ratio)).where((F.col("odds") >= math.log(9)) & (chance >= 30)).orderBy(F.desc("odds"), "w").limit(words).collect()
+    return [(r["w"], math.log((r["bad"] + 0.5) / (r["clean"] + 0.5))) for r in got if r["bad"] > r["clean"]]
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 10000, threshold: float = 0.5) -> DataFrame:
     """(doc_id, score, toxic, terms, restored) for every row of docs(doc_id, text); other columns are ignored.
 
     terms are the words of the lexicon that stand in the text, openly or behind the channel (restored: how many of them only
-    behind it), score is 1 - exp(-weight / 4) of the sum of their log-odds, toxic is 1 from threshold on. A null or empty text
+    behind it), score is the logistic function of the sum of their log-odds less BAR, toxic is 1 from threshold on: one sure word or several weaker ones. A null or empty text
     has score 0. Null ids and repeated rows are scored like any other row; an empty table gives no rows, and without labels
     of both classes nothing is toxic.
     """
     weights = dict(lexicon(docs, labels, fit_rows))
-    cost = char_model([(r["gram"], r["n"]) for r in char_counts(docs).collect()], list(weights))  # at most SIZE^3 rows, whatever the corpus
+    cost = char_model([(r["gram"], r["n"]) for r in char_counts(docs).collect()], sorted(weights, key=lambda w: -weights[w])[:LIKELY])  # at most SIZE^3 rows, whatever the corpus
     shared = docs.sparkSession.sparkContext.broadcast((cost.astype(np.float32), weights))
 
     def run(it):
@@ -244,7 +246,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20000, th
                     hidden = known.intersection(reader.readings(t)) - found
                 out["terms"].append(sorted(found | hidden))
                 out["restored"].append(len(hidden))
-                out["score"].append(1 - math.exp(-sum(lex[w] for w in found | hidden) / 4))
+                out["score"].append(1 / (1 + math.exp(BAR - sum(lex[w] for w in found | hidden))) if found or hidden else 0.0)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64")} | out | {"toxic": [int(s >= threshold) for s in out["score"]]})[["doc_id", "score", "toxic", "terms", "restored"]]
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, toxic int, terms array<string>, restored int")
