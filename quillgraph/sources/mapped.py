@@ -21,8 +21,15 @@ TABLES = (
 )
 
 
+_READ: dict[tuple[str, str], DataFrame] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table of a folder that doesn't change while the application lives; its footers are read once."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{table}.parquet")
+    if key not in _READ:
+        _READ[key] = spark.read.parquet(key[1])
+    return _READ[key]
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
