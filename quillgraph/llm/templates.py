@@ -135,24 +135,22 @@ def subtrees(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, host string, hash long")
 
 
-def recurring(trees: DataFrame, least: int, share: float) -> DataFrame:
-    """(host, hash, n) of elements on `least` pages of a host or more, and on a `share` of those of its pages that have elements."""
-    pages = trees.select("host", "page_id").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    counted = trees.groupBy("host", "hash").agg(F.count_distinct(F.coalesce("page_id", F.lit(-1))).alias("n")).where(F.col("n") >= least)
-    return counted.join(pages, "host").where(F.col("n") >= share * F.col("pages")).select("host", "hash", "n")
+def recurring(trees: DataFrame, least: int) -> DataFrame:
+    """(host, hash, n) of elements on `least` pages of a host or more, however many pages the host has."""
+    return trees.groupBy("host", "hash").agg(F.count_distinct(F.coalesce("page_id", F.lit(-1))).alias("n")).where(F.col("n") >= least)
 
 
-def main_text(pages: DataFrame, least: int = 3, share: float = 0.05, most: int = 500_000) -> DataFrame:
+def main_text(pages: DataFrame, least: int = 3, most: int = 500_000) -> DataFrame:
     """(page_id, host, removed, text) for every row of pages(page_id, url, html): its text without recurring elements.
 
     An element recurs if it stands, with the same tag and the same words and elements within, on `least` pages of the
-    host and on `share` of its pages; the outermost recurring element goes with all that is in it (removed: how many).
+    host, be they few or many of its pages; the outermost recurring element goes with all that is in it (removed: how many).
     Heads, scripts and styles are no text. Pages that are null or empty have the text ''; a null or odd url has the host
     ''; rows with a null id count as one page of their host, repeated rows of an id as one, and each is returned. Other
     columns are ignored; an empty table gives no rows. Up to `most` recurring elements are broadcast; more are joined.
     """
     trees = written(subtrees(pages), "subtrees")
-    found = written(recurring(trees, least, share).select("host", "hash"), "recurring")
+    found = written(recurring(trees, least).select("host", "hash"), "recurring")
     spark = pages.sparkSession
     schema = "page_id long, host string, removed int, text string"
     base = pages.select("page_id", "url", "html")

@@ -396,6 +396,15 @@ def test_templates(spark):
     assert templates.text_of(deep)[0] == "x"
 
 
+def test_templates_of_a_large_host(spark):
+    rows = []
+    for i in range(300):  # 60 templates on five pages each
+        nav, foot = f"<nav><ul><li><a>Menu {text(i // 5, 3)}</a></ul></nav>", f"<footer><div>Made by {text(i // 5, 4)}</div></footer>"
+        rows.append((i, f"https://big.example/{i}", f"<html><body>{nav}<article><p>Text number {i}.</article>{foot}"))
+    got = {r["page_id"]: r for r in templates.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 300 and all(got[i]["text"] == f"Text number {i}." and got[i]["removed"] == 2 for i in range(300))
+
+
 # chat
 
 
