@@ -165,13 +165,19 @@ def main_text(pages: DataFrame, least: int = 3, most: int = 500_000) -> DataFram
                 yield from _extract(pdf, [shared.value.get(host_of(u), frozenset()) for u in pdf["url"]])
 
         return base.mapInPandas(known, schema)
-    lists = trees.join(found, ["host", "hash"], "left_semi").groupBy("page_id").agg(F.collect_set("hash").alias("gone"))
+    lists = trees.join(found, ["host", "hash"], "left_semi").groupBy("host", "page_id").agg(F.collect_set("hash").alias("gone"))
+
+    def hosted(it):
+        for pdf in it:
+            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "host": [host_of(u) for u in pdf["url"]], "url": pdf["url"], "html": pdf["html"]})
 
     def joined(it):
         for pdf in it:
             yield from _extract(pdf, [frozenset() if g is None else set(g.tolist()) for g in pdf["gone"]])
 
-    return base.join(lists, base["page_id"].eqNullSafe(lists["page_id"]), "left").select(base["page_id"], "url", "html", "gone").mapInPandas(joined, schema)
+    named = base.mapInPandas(hosted, "page_id long, host string, url string, html string")
+    same = (named["host"] == lists["host"]) & named["page_id"].eqNullSafe(lists["page_id"])
+    return named.join(lists, same, "left").select(named["page_id"], "url", "html", "gone").mapInPandas(joined, schema)
 
 
 def _extract(pdf: pd.DataFrame, gone: list):

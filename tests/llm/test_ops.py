@@ -405,6 +405,17 @@ def test_templates_of_a_large_host(spark):
     assert len(got) == 300 and all(got[i]["text"] == f"Text number {i}." and got[i]["removed"] == 2 for i in range(300))
 
 
+def test_templates_of_one_id_on_two_hosts(spark):
+    rows = []
+    for i in range(4):  # "Shared" recurs on host a alone, and stands once on host b under an id of a's, once under a null id
+        rows += [(i, f"http://a.example/{i}", f"<p>Shared</p><p>A {i}</p>"), (i, f"http://b.example/{i}", f"<p>Menu</p><p>B {i}</p>" + "<p>Shared</p>" * (i == 0))]
+    rows += [(None, "http://a.example/n", "<p>Shared</p><p>Null a</p>"), (None, "http://b.example/n", "<p>Menu</p><p>Shared</p><p>Null b</p>"), (None, "http://c.example/n", "<p>Menu</p><p>Shared</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    both = [sorted((str(r["page_id"]), r["host"], r["removed"], r["text"]) for r in templates.main_text(df, most=most).collect()) for most in (1000, 0)]
+    assert both[0] == both[1]
+    assert ("0", "b.example", 1, "B 0\nShared") in both[1] and ("None", "c.example", 0, "Menu\nShared") in both[1] and ("None", "a.example", 1, "Null a") in both[1]
+
+
 # chat
 
 
