@@ -32,7 +32,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that repeats another one, with the occurrence that is kept."""
-    return repeated_lines(table(spark, sf_dir, "documents"))
+    return repeated_lines(table(spark, sf_dir, "documents"), sketches=True)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

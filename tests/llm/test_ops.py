@@ -269,6 +269,30 @@ def test_fuzzy_lines_match_brute_force(spark):
     assert got == {p: find(p) for p in group if find(p) != p} and got[(5, 4)] == (0, 0)
 
 
+def test_fuzzy_lines_by_edit_similarity_alone(spark):
+    pairs, r = [], np.random.default_rng(3)
+    for i in range(240):
+        w = text(5000 + i, (4, 10, 17, 25, 50, 80)[i % 6]).split()
+        x = list(w)
+        if len(w) == 4:  # one character
+            x[1] = x[1][:-1] + "z"
+        else:
+            for k in r.choice(len(w), max(1, len(w) // 12), replace=False):
+                x[k] = r.choice(VOCAB)
+        if x != w and lines.similar_lines(" ".join(w), " ".join(x), 0.9):
+            pairs.append((" ".join(w), " ".join(x)))
+    rows = [(2 * i + k, t, "a") for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    got = {(r["doc_id"], r["kept_doc"]) for r in lines.repeated_lines(docs(spark, rows), sketches=True).collect()}
+    want = {(2 * i + 1, 2 * i) for i in range(len(pairs))}
+    assert len(pairs) > 150 and len(got & want) >= 0.9 * len(want) and got <= want
+
+
+def test_large_buckets_compare_all_pairs(spark):
+    rows = [(i, 7, 0 if i < 300 else 0b1111111 if i < 600 else 0b111 << (i % 2) * 3) for i in range(700)]
+    got = lines._pairs(spark.createDataFrame(rows, "key long, bucket long, hash long"), 3).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(a, b) for (a, _, x), (b, _, y) in itertools.combinations(rows, 2) if (x ^ y).bit_count() <= 3}
+
+
 def test_edit_distance():
     import random
 
