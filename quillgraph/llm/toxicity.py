@@ -39,10 +39,9 @@ _SIGNS = re.escape("".join(k for k in LEET if not k.isdigit()))
 _SEP = r"[ .\-_*~]"
 #: Single characters spread out: four or more, with one or two separators between.
 SPREAD = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:{_SEP}{{1,2}}(?:[^\W_]|[{_SIGNS}])){{3,}}(?![^\W_])")
-#: A token with a letter and, within it, a sign or digit that may be a letter; or with a character three times or more.
+#: A token with a letter and, within it, a sign or digit that may be a letter; or with a letter twice in a row or more.
 TOUCHED = re.compile(rf"(?<![^\W_])(?=[^\s]*[^\W\d_])(?:[^\W_]|[{_SIGNS}])(?:[^\W_]|[{_SIGNS}.\-_*~])*")
-_HINT = re.compile(rf"[\d{_SIGNS}]|[^\W\d_][.\-_*~]+[^\W_]|(.)\1\1")
-LONGEST = 64
+_HINT = re.compile(rf"[\d{_SIGNS}]|[^\W\d_][.\-_*~]+[^\W_]|(?i:([^\W\d_])\1)")
 #: Words of the lexicon that the character model is told of.
 LIKELY = 100
 #: Log-odds that the words of a text must reach together: 19 to 1 or so.
@@ -111,9 +110,9 @@ def char_model(counts: list[tuple[int, int]], words: list[str] | tuple = (), sha
 
 
 def decode(token: str, cost: np.ndarray) -> str:
-    """The likeliest reading of a token (lower case letters, with a space where it was cut into words)."""
-    # state: last two symbols, and the last letter; value: cost and text
-    beams: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+    """The likeliest reading of a token (lower case letters, with a space where it was cut into words), in time linear in its length."""
+    # state: last two symbols, and the last letter; value: cost, and the text as (text before, last part), so that it is never copied
+    beams: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
     before = ""
     low = token.lower()
     for c in low:
@@ -125,7 +124,7 @@ def decode(token: str, cost: np.ndarray) -> str:
             options.append((" ", KEEP_SIGN_COST) if not c.isdigit() else (" ", KEEP_SIGN_COST - 2))
         else:
             options += [("", DROP_COST if c != " " else 0.1), (" ", BREAK_COST)]
-        new: dict[tuple[int, int, str], tuple[float, str]] = {}
+        new: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
         for (a, b, last), (w, text) in beams.items():
             tries = options
             if c == before and text:
@@ -137,16 +136,20 @@ def decode(token: str, cost: np.ndarray) -> str:
                     if b == 0:
                         key, v = (a, b, last), (w + extra, text)
                     else:
-                        key, v = (b, 0, last), (w + extra + cost[a, b, 0], text + " ")
+                        key, v = (b, 0, last), (w + extra + cost[a, b, 0], (text, " "))
                 else:
                     s = SYMBOL.get(x, OTHER)
-                    key, v = (b, s, x), (w + extra + cost[a, b, s], text + x)
-                if key not in new or v < new[key]:
+                    key, v = (b, s, x), (w + extra + cost[a, b, s], (text, x))
+                if key not in new or v[0] < new[key][0]:
                     new[key] = v
-        best = min(v[0] for v in new.values())
-        beams = {k: v for k, v in new.items() if v[0] <= best + 12}
+        beams = new
         before = c
-    return min((w + cost[a, b, 0], text) for (a, b, _), (w, text) in beams.items())[1].strip()
+    text = min(((w + cost[a, b, 0], text) for (a, b, _), (w, text) in beams.items()), key=lambda v: v[0])[1]
+    parts = []
+    while text is not None:
+        text, x = text
+        parts.append(x)
+    return "".join(reversed(parts)).strip()
 
 
 class Restorer:
@@ -161,8 +164,7 @@ class Restorer:
         if got is None:
             if len(self.cache) > 100_000:
                 self.cache.clear()
-            parts = [token[i : i + LONGEST] for i in range(0, len(token), LONGEST)]  # a lattice stays small; nothing is left out
-            got = self.cache[token] = " ".join(decode(p, self.cost) for p in parts)
+            got = self.cache[token] = decode(token, self.cost)
         return got
 
     def readings(self, text: str) -> list[str]:

@@ -387,6 +387,14 @@ def test_viterbi_is_the_best_path():
     assert toxicity.decode("baaaanana", cost) == "banana"
 
 
+def test_doubled_letters_and_long_tokens_are_read():
+    words_ = ["idiot", "stupid", "moron"]
+    n = toxicity.gram_counts([" ".join([*words_, "banana cabana"] * 50)])
+    reader = toxicity.Restorer(toxicity.char_model(list(enumerate(n)), words_), dict.fromkeys(words_, 3.0))
+    for token, word in (("idioot", "idiot"), ("stuUpid", "stupid"), ("morron", "moron"), ("st" + "u" * 70 + "pid", "stupid"), ("banana-" * 9 + "m0ron", "moron"), ("s" * 50_000 + "tupid", "stupid")):
+        assert word in reader.readings("banana " + token), token[:70]
+
+
 def test_toxicity_odd_tables(spark, abuse):
     out = toxicity.score_toxicity(odd(spark), abuse[1]).collect()
     assert len(out) == 10 and all(r["score"] == 0 for r in out if r["doc_id"] in (2, 3, 7))
