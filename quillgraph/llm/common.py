@@ -7,12 +7,18 @@ import re
 import tempfile
 import uuid
 from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Folder of the public vocabulary files; every operator that tokenises takes another as a parameter.
 TOKENIZERS = "/opt/tokenizers"
@@ -46,18 +52,68 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back; the files go when the frame is garbage."""
+    """Writes df as Parquet to the shared folder and reads it back; the files go when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    return out
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(df_path: str, spark: SparkSession) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(df_path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def mapped(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | T.StructType) -> DataFrame:
+    """df.mapInPandas(run, schema), but integers stay exact beside nulls: a column with a null comes as Int64, not as floats."""
+    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+
+    def go(batches):
+        frames = (_frame(b) for b in batches if b.num_rows)
+        for pdf in run(frames):
+            if len(pdf):
+                yield from pa.Table.from_pandas(pdf[arrow.names], schema=arrow, preserve_index=False).to_batches()
+
+    return df.mapInArrow(go, kind)
+
+
+_NULLABLE = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype(), pa.bool_(): pd.BooleanDtype()}
+
+
+def _frame(batch: pa.RecordBatch) -> pd.DataFrame:
+    out = {}
+    for name, col in zip(batch.schema.names, batch.columns):
+        out[name] = col.to_pandas(types_mapper=_NULLABLE.get if col.null_count else None)
+    return pd.DataFrame(out)
+
+
+#: Words of a sieve: 2^18 rows of 64 bits are the most that is ever broadcast.
+_SIEVE = 18
+
+
+def sifted(df: DataFrame, key: str, ids: DataFrame, mark: str) -> DataFrame:
+    """df with a column `mark`: false only where df[key] is surely not in ids[key].
+
+    A Bloom filter of at most 2^18 words, whatever the size of `ids`, is broadcast, so a join that few rows of a large table
+    take part in moves those few; where `ids` is so large that the filter fills up, it lets more through and nothing is lost.
+    """
+    h = F.xxhash64(F.col(key), F.lit(99))
+    slot, bit = F.shiftrightunsigned(h, 64 - _SIEVE), F.pmod(h, F.lit(64)).cast("int")
+    words_ = ids.select(slot.alias("_slot"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+    joined = df.withColumn("_slot", slot).join(F.broadcast(words_), "_slot", "left")
+    return joined.withColumn(mark, F.coalesce(F.call_function("shiftright", F.col("_bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))).drop("_slot", "_bits")
+
+
+def running(df: DataFrame, group: list[str], order: str, value: str, out: str, width: int = 4096) -> DataFrame:
+    """df with a column `out`: the sum of `value` over the rows of the same group whose `order` (a non-negative integer, distinct within the group) is less.
+
+    Sums of runs of `width` places first, then sums within each run, so that no task holds a whole group.
+    """
+    run = F.floor(F.col(order) / F.lit(width)).cast("long")
+    df = df.withColumn("_run", run)
+    sums = df.groupBy(*group, "_run").agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(W.partitionBy(*group).orderBy("_run").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select(*group, "_run", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.sum(value).over(W.partitionBy(*group, "_run").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    return df.join(sums, [*group, "_run"]).withColumn(out, F.col("_before") + F.coalesce(within, F.lit(0))).drop("_run", "_before")
 
 
 def words(text: str | None) -> list[str]:
@@ -127,53 +183,31 @@ def encoder(path: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken"):
     return tiktoken.Encoding("quill-" + name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-#: Runs longer than this are cut before BPE, whose time grows with the square of a piece's length.
-_LONG = re.compile(r"\S{2000,}|\s{2000,}")
-#: Where a single space does not begin a piece of its own: beside other white space, or at the end.
-_IRREGULAR = re.compile(r"\s\s|\s\Z")
-
-
-class _Chunks(dict):
-    """text up to the next space -> its ids as bytes, kept while a Python worker lives; emptied when it grows past `most` chunks."""
-
-    def __init__(self, path: str, name: str, most: int = 400_000):
-        super().__init__()
-        self.core = encoder(path, name)._core_bpe
-        self.most = most
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        v = self[chunk] = array("H", self.core.encode_ordinary(" " + chunk)).tobytes()
-        return v
-
-
-@lru_cache(maxsize=4)
-def _chunks(path: str, name: str) -> _Chunks:
-    return _Chunks(path, name)
+#: A run of white space so long that the pattern of the vocabulary would recurse too deep on it.
+_BLANK = re.compile(r"\s{2000,}")
 
 
 def encode_bytes(text: str | None, path: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> bytes:
-    """The ids of a text as little-endian 16-bit numbers, the same as encoding it at once; decoding gives the text back.
+    """The ids of a text as little-endian 16-bit numbers; decoding gives the text back.
 
-    The pattern of the vocabulary begins a new piece at every single space between other characters, so such a text is
-    encoded chunk by chunk with a cache. A run of over 2000 non-spaces (or spaces) is cut into parts of 1000 characters.
+    A very long run of white space is told to the encoder piece by piece, as the pattern of the vocabulary would cut it:
+    all of it but the last character, which belongs to what follows. So the ids are those of encoding the text at once.
     """
     if not text:
         return b""
     core = encoder(path, name)._core_bpe
-    if _LONG.search(text) is None:
-        if _IRREGULAR.search(text) is None:
-            first, *rest = text.split(" ")
-            return array("H", core.encode_ordinary(first)).tobytes() + b"".join(map(_chunks(path, name).__getitem__, rest))
-        return np.array(core.encode_ordinary(text), dtype=np.uint16).tobytes()
+
+    def ids(t: str) -> bytes:
+        return array("H", core.encode_ordinary(t)).tobytes()
+
+    if _BLANK.search(text) is None:
+        return ids(text)
     parts, at = [], 0
-    for m in _LONG.finditer(text):
-        parts.append(text[at : m.start()])
-        parts += [text[i : min(i + 1000, m.end())] for i in range(m.start(), m.end(), 1000)]
-        at = m.end()
-    parts.append(text[at:])
-    return b"".join(np.array(core.encode_ordinary(p), dtype=np.uint16).tobytes() for p in parts if p)
+    for m in _BLANK.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        parts += [ids(text[at : m.start()]), array("H", core.encode_single_piece(text[m.start() : end].encode())).tobytes()]
+        at = end
+    return b"".join([*parts, ids(text[at:])])
 
 
 def encode(text: str | None, path: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> np.ndarray:
@@ -181,7 +215,7 @@ def encode(text: str | None, path: str = TOKENIZERS, name: str = "byte_bpe_50k.t
     return np.frombuffer(encode_bytes(text, path, name), dtype=np.uint16)
 
 
-def connected_groups(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected_groups(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of the undirected graph of `edges`; root is the smallest node of the component.
 
     Alternates large-star and small-star steps, which need about log n rounds on any shape of component and keep
@@ -190,7 +224,7 @@ def connected_groups(edges: DataFrame, a: str = "a", b: str = "b", rounds: int =
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = checkpoint(e)
     seen = None
-    for _ in range(rounds):
+    while True:
         # large star: every neighbour larger than u points to the least neighbour of u (or u itself)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -203,6 +237,4 @@ def connected_groups(edges: DataFrame, a: str = "a", b: str = "b", rounds: int =
         if seen == tuple(now):
             break
         seen = tuple(now)
-    else:
-        raise RuntimeError("connected groups did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -10,7 +10,7 @@ from quillgraph.llm.coder import write_blocks
 from quillgraph.llm.common import table
 from quillgraph.llm.fmindex import leaked_spans
 from quillgraph.llm.lines import repeated_lines
-from quillgraph.llm.minhash import similar_pairs
+from quillgraph.llm.minhash import linked_documents
 from quillgraph.llm.mixing import mixed_blocks
 from quillgraph.llm.quality import score_quality
 from quillgraph.llm.templates import main_text
@@ -23,10 +23,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every page without its site's templates."""
     return main_text(table(spark, sf_dir, "pages"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many blocks as there are, drawn by the sources' target weights."""
     return mixed_blocks(table(spark, sf_dir, "documents"))
 
 
@@ -51,14 +53,17 @@ def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(table(spark, sf_dir, "documents"))
+    """Every document with its class of equal sets and the number of classes that it is linked to."""
+    return linked_documents(table(spark, sf_dir, "documents"))
 
 
 def op9_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of all documents in coded blocks."""
     return write_blocks(table(spark, sf_dir, "documents"))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best paths of every reply tree as conversations."""
     return chat.branch_conversations(chat.reply_tree(table(spark, sf_dir, "conversations")))
 
 
