@@ -146,7 +146,7 @@ def alike(sets: list[np.ndarray], least: float, part: np.ndarray | None = None)
                 m = np.zeros((len(used), step), dtype=np.float32)
                 m[local, col[lo:hi] - k * step] = 1
                 both[np.ix_(used, used)] += m @ m.T
-    ok = both >= np.float32(least) * (size[:, None] + size[None, :] - both)
+    ok = both / (size[:, None] + size[None, :] - both) >= least
     np.fill_diagonal(ok, False)
     if part is not None:
         ok &= part[:, None] != part[None, :]
@@ -195,8 +195,6 @@ def verified(docs: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, least:
             for lo, hi in bounds(t):
                 # of a component in parts, a part's own pairs are counted where it meets the next part
                 own = other[lo:hi] == (part[lo:hi] + 1) % parts[lo:hi] if parts[lo] > 1 else np.ones(hi - lo, dtype=bool)
-                if parts[lo] == 2:
-                    own[:] = True
                 sets_ = [np.frombuffer(x, dtype=np.uint64) for x in raw[lo:hi]]
                 ok = alike(sets_, least)
                 if not own.all():

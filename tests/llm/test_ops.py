@@ -287,10 +287,81 @@ def test_fuzzy_lines_by_edit_similarity_alone(spark):
     assert len(pairs) > 150 and len(got & want) >= 0.9 * len(want) and got <= want
 
 
-def test_large_buckets_compare_all_pairs(spark):
-    rows = [(i, 7, 0 if i < 300 else 0b1111111 if i < 600 else 0b111 << (i % 2) * 3) for i in range(700)]
-    got = lines._pairs(spark.createDataFrame(rows, "key long, bucket long, hash long"), 3).collect()
-    assert {(r["a"], r["b"]) for r in got} == {(a, b) for (a, _, x), (b, _, y) in itertools.combinations(rows, 2) if (x ^ y).bit_count() <= 3}
+def components(edges, nodes):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {n: find(n) for n in nodes}
+
+
+def test_large_buckets_are_compared_whole_in_any_order(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    chain = [0]
+    for i in range(1999):  # each a few bits from one before it: long chains, no leader near all
+        chain.append(chain[r.integers(max(0, i - 3), i + 1)] ^ (1 << int(r.integers(0, 63))) ^ (1 << int(r.integers(0, 63))))
+    rows = [(i, 7, h) for i, h in enumerate(chain)]
+    rows = [rows[i] for i in r.permutation(2000)][:2000]
+    bits = np.array(chain, dtype=np.uint64)
+    want = components(((i, j) for i in range(2000) for j in np.flatnonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= 3) + i + 1), range(2000))
+    for tile in (8192, 300):
+        monkeypatch.setattr(lines, "BUCKET", tile)
+        for order in (rows, rows[::-1], sorted(rows)):
+            got = lines.bucket_edges(spark.createDataFrame(order, "key long, bucket long, hash long").repartition(5), 3).collect()
+            assert components([(e["a"], e["b"]) for e in got], range(2000)) == want
+
+
+def test_large_near_buckets_and_components(spark, monkeypatch):
+    from quillgraph.llm import near
+
+    r = np.random.default_rng(6)
+    sig = [r.integers(0, 9, 40).astype(np.uint16)]
+    for i in range(1200):
+        s = sig[r.integers(max(0, i - 4), i + 1)].copy()
+        s[r.choice(40, 15, replace=False)] = r.integers(0, 60000, 15)
+        sig.append(s)
+    m = np.stack(sig)
+    want = components(((i, int(j)) for i in range(len(m)) for j in np.flatnonzero((m[i + 1 :] == m[i]).sum(axis=1) >= 20) + i + 1), range(len(m)))
+    rows = [(5, len(m), i, bytearray(s.tobytes())) for i, s in enumerate(sig)]
+    for tile in (8192, 250):
+        monkeypatch.setattr(near, "BUCKET", tile)
+        for order in (rows, rows[::-1], [rows[i] for i in r.permutation(len(rows))]):
+            got = near.bucket_edges(spark.createDataFrame(order, "bucket long, size long, node long, sig binary").repartition(4), 0.5, 40).collect()
+            assert components([(e["a"], e["b"]) for e in got], range(len(m))) == want
+
+
+def test_links_of_a_component_in_tiles(spark, monkeypatch):
+    from quillgraph.llm import near
+
+    base = text(77, 90)
+    rows = [(i, t, "s") for i, t in enumerate([base, *family(base, 60, 4, 9), base, text(5, 50)])] + [(None, base, "s"), (200, None, "s"), (201, "", "s")]
+    df = docs(spark, rows)
+    texts = {i: t for i, t, _ in rows if i is not None and t}
+    first = {}
+    for i, t in texts.items():
+        first.setdefault(t, i)
+    want = {i: (first[t], sum(jaccard(t, u) >= 0.6 for u in first if u != t)) for i, t in texts.items()} | {200: (200, 0), 201: (201, 0)}
+    for tile in (1024, 20):
+        monkeypatch.setattr(near, "TILE", tile)
+        assert {r["doc_id"]: (r["class_id"], r["links"]) for r in minhash.linked_documents(df).collect()} == want
+    assert minhash.linked_documents(empty(spark)).count() == 0 and minhash.linked_documents(odd(spark)).where("doc_id = 8 and class_id = 1 and links = 0").count() == 1
+
+
+def test_ids_beside_nulls_stay_exact(spark):
+    big = 1152921504606846977
+    df = docs(spark, [(big, text(1), "a"), (None, text(2), "a"), (big + 2, text(1), "a")]).coalesce(1)
+    b = spark.createDataFrame([(1, text(1))], "item_id long, text string")
+    assert {r["doc_id"] for r in fmindex.leaked_spans(df, b).collect()} == {big, big + 2}
+    assert {r["doc_id"] for r in quality.score_quality(df).collect()} == {big, None, big + 2}
+    assert [r["doc_ids"] for r in coder.write_blocks(df).collect()] == [[big, None, big + 2]]
+    assert {(r["doc_id"], r["kept_id"]) for r in chosen.near_duplicates(df).collect()} == {(big + 2, big)}
+    assert {r["doc_id"] for r in quality.filter_quality(df, threshold=0.0).collect()} == {big, None, big + 2}
 
 
 def test_edit_distance():
