@@ -16,11 +16,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from quillgraph.llm.common import TOKENIZERS, encode_bytes, encoder
+from quillgraph.llm.common import TOKENIZERS, encode_bytes, encoder, mapped
 
 #: Ids of a block, and blocks coded in lockstep; together they bound a task's memory.
 BLOCK = 8192
-LANES = 320
+LANES = 160
 ALPHABET = 1 << 16
 _SLOT, _ID = 15, 20
 #: The order-0 intervals are renewed after so many ids.
@@ -297,7 +297,7 @@ def write_blocks(docs: DataFrame, block: int = BLOCK, lanes: int = LANES, tokeni
             heads = left
 
         for pdf in it:
-            for d, t in zip(pdf["doc_id"].astype("Int64").tolist(), pdf["text"]):
+            for d, t in zip(pdf["doc_id"].tolist(), pdf["text"]):
                 raw = encode_bytes(t, tokenizers, vocabulary) + mark
                 held.append(raw)
                 heads.append((None if d is pd.NA else d, len(raw) // 2))
@@ -307,7 +307,7 @@ def write_blocks(docs: DataFrame, block: int = BLOCK, lanes: int = LANES, tokeni
         if size:
             yield from flush(True)
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return mapped(docs.select("doc_id", "text"), run, SCHEMA)
 
 
 def read_blocks(blocks: DataFrame) -> DataFrame:
@@ -321,4 +321,4 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
                     raise ValueError("a block fails its checksum")
             yield pd.DataFrame({"doc_ids": pdf["doc_ids"], "lengths": pdf["lengths"], "n_ids": pdf["n_ids"], "ids": [x.astype(np.int32) for x in got], "crc": pdf["crc"]})
 
-    return blocks.mapInPandas(run, "doc_ids array<long>, lengths array<int>, n_ids int, ids array<int>, crc long")
+    return mapped(blocks.select("doc_ids", "lengths", "n_ids", "payload", "crc"), run, "doc_ids array<long>, lengths array<int>, n_ids int, ids array<int>, crc long")

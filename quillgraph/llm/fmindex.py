@@ -3,7 +3,7 @@
 A shard is a run of documents of one input partition, taken as a sequence of words. Its suffixes are sorted by prefix
 doubling; the Burrows-Wheeler transform goes into a wavelet matrix whose ranks drive the backward search of all test
 phrases at once; occurrences are located through sampled suffix positions. Nothing is shuffled: the phrases, which do not
-grow with the corpus, are broadcast, and every document is judged in the task that reads it.
+grow with the corpus, are broadcast in parts of bounded size, and every document is judged in the task that reads it.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import WORD, word_hashes, words
+from quillgraph.llm.common import WORD, mapped, word_hashes, words
 
 BITS = 16
 #: Words of a shard; bounds the memory of a task, whatever the partition holds.
@@ -161,40 +161,42 @@ def merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def shard_spans(texts: list[str | None], full: np.ndarray, symbols: np.ndarray, lengths: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-    """Index of a text -> character spans to remove, over one shard."""
+def shard_spans(texts: list[str | None], *parts) -> dict[int, list[tuple[int, int]]]:
+    """Index of a text -> character spans to remove, over one shard. parts: results of _matrix(), or functions that load one."""
     hashes = [word_hashes(t) for t in texts]
-    if not sum(map(len, hashes)) or not len(full):
+    if not sum(map(len, hashes)):
         return {}
     one = np.ones(1, dtype=np.uint16)
     index = FMIndex(np.concatenate([y for h in hashes for y in (_symbols(h), one)]))
     begins = np.cumsum([0] + [len(h) + 1 for h in hashes])
-    lo, hi = index.search(symbols, lengths)
-    hit = np.flatnonzero(hi > lo)
-    if not len(hit):
-        return {}
-    times = hi[hit] - lo[hit]
-    which = np.repeat(hit, times)
-    rows = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo[hit], times)
-    at = index.locate(rows)
-    doc = np.searchsorted(begins, at, side="right") - 1
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for part in parts:
+        full, symbols, lengths = part() if callable(part) else part
+        lo, hi = index.search(symbols, lengths)
+        hit = np.flatnonzero(hi > lo)
+        times = hi[hit] - lo[hit]
+        which = np.repeat(hit, times)
+        rows = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo[hit], times)
+        at = index.locate(rows)
+        doc = np.searchsorted(begins, at, side="right") - 1
+        order = np.argsort(doc, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(doc[order]) != 0, True]) if len(doc) else []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            some = order[a:b]
+            d = int(doc[some[0]])
+            h, first = hashes[d], at[some] - begins[d]
+            # symbols are hashes of hashes: the words themselves must agree too
+            keep = [i for i, (p, w) in enumerate(zip(first, which[some])) if (h[p : p + lengths[w]] == full[w, full.shape[1] - lengths[w] :]).all()]
+            if keep:
+                found.setdefault(d, []).append((first[keep], first[keep] + lengths[which[some]][keep]))
     out: dict[int, list[tuple[int, int]]] = {}
-    order = np.argsort(doc, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, np.diff(doc[order]) != 0, True])
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        some = order[a:b]
-        d = int(doc[some[0]])
-        h, first = hashes[d], at[some] - begins[d]
-        # symbols are hashes of hashes: the words themselves must agree too
-        keep = [i for i, (p, w) in enumerate(zip(first, which[some])) if (h[p : p + lengths[w]] == full[w, full.shape[1] - lengths[w] :]).all()]
-        if keep:
-            low, chars = texts[d].lower(), None
-            source = texts[d] if len(low) == len(texts[d]) else low
-            chars = [m.span() for m in WORD.finditer(low)]
-            spans = merged(first[keep], first[keep] + lengths[which[some]][keep])
-            out[d] = [(chars[i][0], chars[j - 1][1]) for i, j in spans]
-            if source is not texts[d]:
-                out[d] = _remapped(texts[d], out[d])
+    for d, runs in sorted(found.items()):
+        low = texts[d].lower()
+        chars = [m.span() for m in WORD.finditer(low)]
+        spans = merged(np.concatenate([x for x, _ in runs]), np.concatenate([y for _, y in runs]))
+        out[d] = [(chars[i][0], chars[j - 1][1]) for i, j in spans]
+        if len(low) != len(texts[d]):
+            out[d] = _remapped(texts[d], out[d])
     return out
 
 
@@ -228,9 +230,36 @@ def _shards(it: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def _shared(docs: DataFrame, benchmark: DataFrame, n: int, least: int):
-    texts = [r[0] for r in benchmark.select("text").distinct().toLocalIterator()]
-    return docs.sparkSession.sparkContext.broadcast(_matrix(phrases(texts, n, least)))
+#: Phrases of a benchmark that are broadcast, and sought, at once; a larger benchmark is sought in several parts.
+PHRASES = 250_000
+
+
+def _shared(docs: DataFrame, benchmark: DataFrame, n: int, least: int) -> list:
+    """The phrases of the benchmark as broadcasts of PHRASES each, so that neither the driver nor a task ever holds more of them at once."""
+    sc, out = docs.sparkSession.sparkContext, []
+    seen: set[bytes] = set()
+    held: list[np.ndarray] = []
+    for (t,) in benchmark.select("text").where("text is not null").distinct().toLocalIterator():
+        for p in phrases([t], n, least):
+            if p.tobytes() not in seen:
+                seen.add(p.tobytes())
+                held.append(p)
+        if len(held) >= PHRASES:
+            out.append(sc.broadcast(_matrix(held)))
+            held, seen = [], set()
+    if held:
+        out.append(sc.broadcast(_matrix(held)))
+    return out
+
+
+def _spans(texts: list[str | None], shared: list) -> dict[int, list[tuple[int, int]]]:
+    """shard_spans() over all parts of the benchmark."""
+    if not shared:
+        return {}
+    if len(shared) == 1:
+        return shard_spans(texts, shared[0].value)
+    # load_from_path() keeps nothing, so one part is in memory at a time
+    return shard_spans(texts, *(lambda b=b: b.load_from_path(b._path) if getattr(b, "_path", None) else b.value for b in shared))
 
 
 def leaked_spans(docs: DataFrame, benchmark: DataFrame, n: int = 13, least: int = 5, shard: int = SHARD) -> DataFrame:
@@ -238,20 +267,20 @@ def leaked_spans(docs: DataFrame, benchmark: DataFrame, n: int = 13, least: int
 
     A span is made of runs of n words that stand in a benchmark text in the same order (case and what is not a letter or
     digit aside); a benchmark text of `least` to n - 1 words counts as a whole, a shorter one is not sought. Null and
-    empty texts have no spans; rows with a null id or repeated rows are judged like any other. An empty table on either
-    side gives no rows.
+    empty texts have no spans; rows with a null id or repeated rows are judged like any other; a very long text is a shard of its
+    own. Other columns, of either table, are ignored. An empty table on either side gives no rows.
     """
     shared = _shared(docs, benchmark, n, least)
 
     def run(it):
         for pdf in _shards(it, shard):
-            spans = shard_spans(pdf["text"].tolist(), *shared.value)
+            spans = _spans(pdf["text"].tolist(), shared)
             rows = [(i, a, b) for i, s in spans.items() for a, b in s]
             if rows:
                 i, a, b = zip(*rows)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").iloc[list(i)].array, "start": np.array(a, np.int64), "end": np.array(b, np.int64)})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[list(i)].array, "start": np.array(a, np.int64), "end": np.array(b, np.int64)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, start long, end long")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, start long, end long")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -268,7 +297,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, least: int
 
     def run(it):
         for pdf in _shards(it, shard):
-            spans = shard_spans(pdf["text"].tolist(), *shared.value)
+            spans = _spans(pdf["text"].tolist(), shared)
             if spans:
                 pdf = pdf.copy()
                 t = pdf["text"].tolist()
@@ -283,4 +312,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, least: int
                 pdf = pdf[[i not in spans or bool(words(t[i])) for i in range(len(pdf))]]
             yield pdf
 
-    return docs.mapInPandas(run, docs.schema)
+    return mapped(docs, run, docs.schema)

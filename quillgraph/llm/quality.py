@@ -3,7 +3,7 @@ posterior labels train a hashed linear scorer.
 
 Three passes over whole texts. The first turns every document into a vector of votes and counts the vectors over all
 documents (at most 3^9 rows reach the driver, whatever the corpus). The second fits the scorer on a bounded sample,
-chosen by a hash of the id. The third scores every document, row by row, without a shuffle.
+chosen by a hash of the row. The third scores every document, row by row, without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgraph.llm.common import mapped
+
 #: Names of the labellers, in the order of their votes.
 LABELLERS = ("symbols", "capitals", "marks", "bars", "repeats", "function_words", "word_length", "vowels", "stutter")
 #: Least log-odds that a vote of "bad" is worth; a vote of "good" never counts against. Without such a floor, EM can turn a labeller of a rare kind of junk upside down.
@@ -90,7 +92,7 @@ class _Shapes(dict):
         if len(self) > 250_000:
             self.clear()
         shape = _SHAPE.sub(lambda m: ("U" if m[1].isupper() and len(m[1]) > 1 else "L" if m[1][0].isupper() else "l") if m[1] else "0" if m[2] else m[3], token)
-        shape = re.sub(r"(.)\1+", r"\1", shape)[:12]
+        shape = re.sub(r"(.)\1+", r"\1", shape)
         v = self[token] = (xxhash.xxh32_intdigest(token.lower()) & self.mask, xxhash.xxh32_intdigest("\0" + shape) & self.mask)
         return v
 
@@ -170,7 +172,7 @@ def vote_counts(docs: DataFrame) -> DataFrame:
             c = Counter("".join("-0+"[x + 1] for x in votes(t)) for t in pdf["text"])
             yield pd.DataFrame({"votes": list(c), "n": list(c.values())})
 
-    return docs.select("text").mapInPandas(run, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n"))
+    return mapped(docs.select("text"), run, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n"))
 
 
 def _as_votes(keys: list[str]) -> np.ndarray:
@@ -214,16 +216,17 @@ def fit(docs: DataFrame, fit_rows: int = 6000, bits: int = 14) -> Scorer:
     counted = vote_counts(docs).collect()
     n = sum(r["n"] for r in counted)
     labels = fit_labels(_as_votes([r["votes"] for r in counted]), np.array([r["n"] for r in counted]))
-    share = 1.0 if n <= fit_rows else fit_rows / n
-    cut = int(share * 1_000_000)
-    picked = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < cut)
+    picked = docs.select("text", F.xxhash64("doc_id", "text", F.lit("fit")).alias("h"))
+    if n > fit_rows:  # a few more than needed by their hash, then exactly the least ones
+        picked = picked.where(F.col("h") < min((1 << 63) - 1, int(1.1 * fit_rows / n * (1 << 64)) - (1 << 63) + (1 << 64) // n))
+    picked = picked.dropDuplicates(["h"])  # rows that are the same throughout count once
 
     def run(it):
         for pdf in it:
             f = [features(t, bits) for t in pdf["text"]]
-            yield pd.DataFrame({"votes": ["".join("-0+"[x + 1] for x in votes(t)) for t in pdf["text"]], "at": [a.astype(np.int32).tobytes() for a, _ in f], "val": [v.astype(np.float32).tobytes() for _, v in f]})
+            yield pd.DataFrame({"h": pdf["h"], "votes": ["".join("-0+"[x + 1] for x in votes(t)) for t in pdf["text"]], "at": [a.astype(np.int32).tobytes() for a, _ in f], "val": [v.astype(np.float32).tobytes() for _, v in f]})
 
-    got = [r for r in picked.mapInPandas(run, "votes string, at binary, val binary").collect() if r["at"] and set(r["votes"]) != {"0"}]
+    got = [r for r in mapped(picked, run, "h long, votes string, at binary, val binary").orderBy("h").limit(fit_rows).collect() if r["at"] and set(r["votes"]) != {"0"}]
     y = labels.posterior(_as_votes([r["votes"] for r in got])) if got else np.empty(0)
     rows = [(np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["val"], np.float32).astype(float)) for r in got]
     w, b = _solve(rows, y, bits)
@@ -243,7 +246,7 @@ def _scored(docs: DataFrame, model: Scorer, schema: T.StructType, add) -> DataFr
                     score[i] = 1 / (1 + np.exp(-np.clip(val @ w[at] + b, -30, 30)))
             yield add(pdf, score, labels)
 
-    return docs.mapInPandas(run, schema)
+    return mapped(docs, run, schema)
 
 
 def score_quality(docs: DataFrame, fit_rows: int = 6000, bits: int = 14, threshold: float = 0.4) -> DataFrame:
@@ -251,7 +254,8 @@ def score_quality(docs: DataFrame, fit_rows: int = 6000, bits: int = 14, thresho
 
     label_score is the posterior of the heuristics' votes, score that of the linear scorer, keep is 1 where
     score >= threshold. A null or blank text has no features: score 0, keep 0. Null ids and repeated rows are scored
-    like any other row; an empty table gives no rows.
+    like any other row (equal rows count once in the sample that the scorer learns from), very long texts whole; an empty
+    table gives no rows.
     """
     d = docs.select("doc_id", "text")
     model = fit(d, fit_rows, bits)

@@ -573,3 +573,29 @@ def test_pipeline_stages(spark, sf):
 
 def test_pandas_is_there():
     assert pd.__version__
+
+
+def test_blocks_end_where_characters_do(spark):
+    rows = [(i, "".join(chr(0x4E00 + (i * 997 + k * 131) % 20000) for k in range(120)) + "🙂🙃" * 20, "a") for i in range(6)]
+    df = docs(spark, rows).coalesce(1)
+    got = mixing.mix_documents(df, block=16, per_shard=8).collect()
+    blocks = mixing.token_blocks(df, 16).orderBy("seq").collect()
+    mark = encoder().n_vocab
+    ids = [np.frombuffer(r["ids"], np.uint16) for r in blocks]
+    assert all(len(x) == 16 for x in ids) and len(got) == len(ids)
+    assert "".join(encoder().decode_bytes(x[x < mark].tolist()).decode() for x in ids) == "".join(t for _, t, _ in rows)
+    assert sorted("".join(r["text"] for r in got).replace("\n", "")) == sorted("".join(t for _, t, _ in rows))
+
+
+def test_long_white_space_has_the_same_ids():
+    e = encoder()
+    for t in ("a" + " " * 2500 + "b", "\n" * 3000, "x" + "\n" * 2100 + " y", " " * 2200 + "z", "ß" * 3000 + " " + "1" * 2500 + "\t" * 2001):
+        assert encode(t).tolist() == e._core_bpe.encode_ordinary(t), t[:3]
+
+
+def test_running_sums(spark):
+    from quillgraph.llm.common import running
+
+    rows = [(g, i, i % 7) for g in "ab" for i in range(0, 50, 1 + (g == "b"))]
+    out = running(spark.createDataFrame(rows, "g string, i long, v long"), ["g"], "i", "v", "before", width=8).collect()
+    assert {(r["g"], r["i"]): r["before"] for r in out} == {(g, i): sum(w for h, k, w in rows if h == g and k < i) for g, i, _ in rows}
