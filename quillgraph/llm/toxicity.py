@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -17,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import WORD, written
+from quillgraph.llm.common import WORD, mapped, sifted, written
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâáçèéêëíîïñóôúùûœæ"
 #: Symbols of the model: 0 is every break, the last is any other letter.
@@ -39,28 +38,45 @@ _SIGNS = re.escape("".join(k for k in LEET if not k.isdigit()))
 _SEP = r"[ .\-_*~]"
 #: Single characters spread out: four or more, with one or two separators between.
 SPREAD = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:{_SEP}{{1,2}}(?:[^\W_]|[{_SIGNS}])){{3,}}(?![^\W_])")
-#: A token with a letter and, within it, a sign or digit that may be a letter; or with a letter twice in a row or more.
-TOUCHED = re.compile(rf"(?<![^\W_])(?=[^\s]*[^\W\d_])(?:[^\W_]|[{_SIGNS}])(?:[^\W_]|[{_SIGNS}.\-_*~])*")
+#: A run, within a token, of letters, digits, signs and separators. It is read if it has a letter and a hint: a sign or digit that may be a letter, a separator between, or a letter twice in a row.
+RUN = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{_SIGNS}])(?:[^\W_]|[{_SIGNS}.\-_*~])*")
+_LETTER = re.compile(r"[^\W\d_]")
 _HINT = re.compile(rf"[\d{_SIGNS}]|[^\W\d_][.\-_*~]+[^\W_]|(?i:([^\W\d_])\1)")
-#: Words of the lexicon that the character model is told of.
-LIKELY = 100
 #: Log-odds that the words of a text must reach together: 19 to 1 or so.
 BAR = 3.0
 #: Characters that are counted at once.
 PIECE = 1 << 18
 
 
+def _counted(x: np.ndarray) -> np.ndarray:
+    """How often each three symbols stand in a row in x, breaks in a row aside."""
+    n = np.bincount((x[:-2] * SIZE + x[1:-1]) * SIZE + x[2:], minlength=SIZE**3)
+    n.reshape(SIZE, SIZE, SIZE)[:, 0, 0] = 0
+    return n
+
+
 def gram_counts(texts: list[str]) -> np.ndarray:
-    """How often each three symbols stand in a row in texts, each of which begins with two breaks; further breaks in a row are not counted."""
+    """How often each three symbols stand in a row in texts, each of which begins with two breaks and ends with one; further breaks in a row are not counted."""
     raw = np.frombuffer("".join(x for t in texts for x in ("\ue000", t)).encode("utf-16-le", "surrogatepass"), dtype=np.uint16)
     x = _TABLE[raw]
     x[raw == 0xE000] = -1
     x = x[(x != 0) | (np.append(-1, x[:-1]) > 0)]
     x = np.append(np.repeat(x, np.where(x < 0, 2, 1)), 0)
     x[x < 0] = 0
-    n = np.bincount((x[:-2] * SIZE + x[1:-1]) * SIZE + x[2:], minlength=SIZE**3)
-    n.reshape(SIZE, SIZE, SIZE)[:, 0, 0] = 0
-    return n
+    return _counted(x)
+
+
+def long_counts(text: str, piece: int = PIECE) -> np.ndarray:
+    """gram_counts([text]), piece by piece: the last two symbols go over to the next."""
+    total = np.zeros(SIZE**3, dtype=np.int64)
+    held = np.zeros(2, dtype=np.int64)
+    for i in range(0, len(text), piece):
+        y = _TABLE[np.frombuffer(text[i : i + piece].encode("utf-16-le", "surrogatepass"), dtype=np.uint16)]
+        y = y[(y != 0) | (np.append(held[-1], y[:-1]) > 0)]
+        x = np.append(held, y)
+        total += _counted(x)
+        held = x[-2:]
+    return total + _counted(np.append(held, 0))
 
 
 def char_counts(docs: DataFrame) -> DataFrame:
@@ -74,28 +90,31 @@ def char_counts(docs: DataFrame) -> DataFrame:
             for t in pdf["text"]:
                 if not t:
                     continue
-                for i in range(0, len(t), PIECE):  # a longer text is cut, where it has a break more
-                    held.append(t[i : i + PIECE])
-                    size += len(held[-1])
-                    if size >= PIECE:
-                        total += gram_counts(held)
-                        held, size = [], 0
+                if len(t) > PIECE:
+                    total += long_counts(t)
+                    continue
+                held.append(t)
+                size += len(t)
+                if size >= PIECE:
+                    total += gram_counts(held)
+                    held, size = [], 0
         if held:
             total += gram_counts(held)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"gram": at, "n": total[at]})
 
-    return docs.select("text").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return mapped(docs.select("text"), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def char_model(counts: list[tuple[int, int]], words: list[str] | tuple = (), share: float = 0.002) -> np.ndarray:
     """-log P(third | first two), smoothed with the bigrams and single symbols; even odds where nothing was counted.
 
-    words are known beforehand: each counts as if it made up `share` of the corpus, for a writer who hides a word hides one of these.
+    words are known beforehand: each counts as if it made up `share` of the corpus (all of them a fifth at most), for a writer who hides a word hides one of these.
     """
     tri = np.zeros(SIZE**3)
     for g, n in counts:
         tri[g] = n
+    share = min(share, 0.2 / max(1, len(words)))
     extra = max(1.0, share * tri[np.arange(SIZE**3) % SIZE == 0].sum())  # a gram that ends in a break ends a word
     for w in words:
         x = [0, 0, *(SYMBOL.get(c, OTHER) for c in w), 0]
@@ -152,51 +171,99 @@ def decode(token: str, cost: np.ndarray) -> str:
     return "".join(reversed(parts)).strip()
 
 
-class Restorer:
-    """Readings of the touched tokens of texts, with a cache."""
+#: The letters, besides itself, that a character may be read as.
+_READ = {sign: frozenset(x) for sign, x in LEET.items()}
 
-    def __init__(self, cost: np.ndarray, lexicon: dict[str, float] | None = None):
-        self.cost, self.lexicon = cost, lexicon or {}
-        self.cache: dict[str, str] = {}
 
-    def read(self, token: str) -> str:
-        got = self.cache.get(token)
-        if got is None:
-            if len(self.cache) > 100_000:
-                self.cache.clear()
-            got = self.cache[token] = decode(token, self.cost)
-        return got
+class Restorer(dict):
+    """token -> (words of the lexicon in it as it stands, those in its readings) or None, kept while a worker lives; emptied when it grows past `most` tokens.
 
-    def readings(self, text: str) -> list[str]:
-        """Restored words, in order of their tokens."""
+    The lattice of a run is decoded only if some path through it could spell a word of the lexicon. All words are followed
+    at once, a bit for each of their letters: a character moves on to the letters that it may be read as, may repeat the
+    one before, and may be passed over if it is no letter.
+    """
+
+    def __init__(self, cost: np.ndarray, lexicon: dict[str, float] | None = None, most: int = 250_000):
+        super().__init__()
+        self.cost, self.lexicon, self.most = cost, lexicon or {}, most
+        self.firsts = self.ends = at = 0
+        self.bits: dict[str, int] = {}
+        for w in self.lexicon:
+            self.firsts |= 1 << at
+            for c in w:
+                self.bits[c] = self.bits.get(c, 0) | 1 << at
+                at += 1
+            self.ends |= 1 << (at - 1)
+        self.reads = {c: self.bits.get(c, 0) for c in self.bits} | {c: sum(self.bits.get(x, 0) for x in xs) for c, xs in _READ.items()}
+
+    def possible(self, token: str) -> bool:
+        """Whether a reading of the token could have a word of the lexicon in it; never False where one has."""
+        on, reads, firsts, ends = 0, self.reads, self.firsts, self.ends
+        for c in token.lower():
+            can = reads.get(c, 0)
+            if c.isalpha():
+                # a word's first letter follows no other word's last, so a step from there is undone
+                on = ((on & ~ends) << 1 | firsts | on) & can
+            else:
+                on |= ((on & ~ends) << 1 | firsts) & can
+            if on & ends:
+                return True
+        return False
+
+    def reading(self, token: str) -> list[str]:
+        """Words of a run's likeliest reading, and all of it as one word."""
+        if len(token) < 3 or _HINT.search(token) is None or _LETTER.search(token) is None or not self.possible(token):
+            return []
+        got = decode(token, self.cost)
+        return [*got.split(), got.replace(" ", "")]
+
+    def spread(self, text: str) -> list[str]:
+        """Words of the readings of what is spread out in a text."""
         out = []
         for m in SPREAD.finditer(text):
-            got = self.read(m.group())
-            out += got.split()
-            whole = got.replace(" ", "")
-            out += [w for w in self.lexicon if len(w) >= 4 and w in whole and w not in out]
-        if _HINT.search(text):
-            for m in TOUCHED.finditer(text):
-                token = m.group()
-                if len(token) > 2 and _HINT.search(token):
-                    got = self.read(token)
-                    out += got.split()
-                    if " " in got:
-                        out.append(got.replace(" ", ""))
+            if self.possible(m.group()):
+                got = decode(m.group(), self.cost)
+                whole = got.replace(" ", "")
+                out += [*got.split(), *(w for w in self.lexicon if len(w) >= 4 and w in whole)]
         return out
 
+    def readings(self, text: str) -> list[str]:
+        """Words of all readings that could have one of the lexicon in them."""
+        return self.spread(text) + [w for t in text.split() for m in RUN.finditer(t) for w in self.reading(m.group())]
+
+    def __missing__(self, token: str) -> tuple[set[str], set[str]] | None:
+        if len(self) >= self.most:
+            self.clear()
+        plain = self.lexicon.keys() & WORD.findall(token.lower())
+        hidden = self.lexicon.keys() & {w for m in RUN.finditer(token) for w in self.reading(m.group())} if _HINT.search(token) else set()
+        v = self[token] = (plain, hidden) if plain or hidden else None
+        return v
+
+    def found(self, text: str) -> tuple[set[str], set[str]]:
+        """Words of the lexicon that stand in a text, and those that only stand behind the channel."""
+        plain: set[str] = set()
+        hidden = self.lexicon.keys() & self.spread(text)
+        for v in filter(None, map(self.__getitem__, set(text.split()))):
+            plain |= v[0]
+            hidden |= v[1]
+        return plain, hidden - plain
+
 
 def lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 10000, least: int = 5, words: int = 5000) -> list[tuple[str, float]]:
     """Words that tell toxic documents apart, with the log-odds that a context of theirs is toxic: at most `words` of those that stand in `least` contexts of
     toxic labelled documents or more, are at least nine times as frequent there, and are so beyond chance.
 
     A word counts once for each pair of its neighbours, so that copies of one document, however many, count as one.
-    fit_rows bounds the labelled documents that are learned from, chosen by a hash of the id.
+    fit_rows bounds the labelled ids that are learned from, chosen by a hash; of an id with several rows, all count.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit("tox")), F.lit(1_000_000)) < int(min(1.0, fit_rows / max(1, n)) * 1_000_000))
-    d = docs.select("doc_id", "text").join(picked, "doc_id").dropDuplicates(["doc_id"])
+    h = F.xxhash64("doc_id", F.lit("tox"))
+    picked = known.withColumn("h", h)
+    if n > fit_rows:  # a few more than needed, then exactly those of the least hash
+        picked = picked.where(F.col("h") < min((1 << 63) - 1, int(1.1 * fit_rows / n * (1 << 64)) - (1 << 63) + (1 << 64) // n))
+    picked = written(picked.orderBy("h", "doc_id").limit(fit_rows).select("doc_id", "toxic"), "picked")
+    d = sifted(docs.select("doc_id", "text"), "doc_id", picked, "may").where("may").select("doc_id", "text").join(picked, "doc_id")
 
     def run(it):
         for pdf in it:
@@ -208,7 +275,7 @@ def lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 10000, least: in
                         rows.add((w, xxhash.xxh3_64_intdigest(f"{a} {z}") - 2**63, int(x > 0)))
             yield pd.DataFrame(list(rows), columns=["w", "context", "toxic"])
 
-    contexts = d.mapInPandas(run, "w string, context long, toxic int").groupBy("w", "context").agg(F.max("toxic").alias("bad"), F.min("toxic").alias("low"))
+    contexts = mapped(d.select("text", "toxic"), run, "w string, context long, toxic int").groupBy("w", "context").agg(F.max("toxic").alias("bad"), F.min("toxic").alias("low"))
     counted = written(contexts.groupBy("w").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("low")).alias("clean")), "words")
     total = counted.agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean")).first()
     if not total["bad"] or not total["clean"]:
@@ -227,28 +294,23 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 10000, th
 
     terms are the words of the lexicon that stand in the text, openly or behind the channel (restored: how many of them only
     behind it), score is the logistic function of the sum of their log-odds less BAR, toxic is 1 from threshold on: one sure word or several weaker ones. A null or empty text
-    has score 0. Null ids and repeated rows are scored like any other row; an empty table gives no rows, and without labels
-    of both classes nothing is toxic.
+    has score 0, a very long one is read whole, in time linear in its length. Null ids and repeated rows are scored like any
+    other row; an empty table gives no rows, and without labels of both classes nothing is toxic.
     """
     weights = dict(lexicon(docs, labels, fit_rows))
-    cost = char_model([(r["gram"], r["n"]) for r in char_counts(docs).collect()], sorted(weights, key=lambda w: -weights[w])[:LIKELY])  # at most SIZE^3 rows, whatever the corpus
+    cost = char_model([(r["gram"], r["n"]) for r in char_counts(docs).collect()], sorted(weights))  # at most SIZE^3 rows, whatever the corpus
     shared = docs.sparkSession.sparkContext.broadcast((cost.astype(np.float32), weights))
 
     def run(it):
         c, lex = shared.value
         reader = Restorer(c.astype(float), lex)
-        known = set(lex)
         for pdf in it:
             out: dict[str, list] = {"score": [], "terms": [], "restored": []}
             for t in pdf["text"]:
-                if not t or not lex:
-                    found, hidden = set(), set()
-                else:
-                    found = known.intersection(WORD.findall(t.lower()))
-                    hidden = known.intersection(reader.readings(t)) - found
+                found, hidden = reader.found(t) if t and lex else (set(), set())
                 out["terms"].append(sorted(found | hidden))
                 out["restored"].append(len(hidden))
                 out["score"].append(1 / (1 + math.exp(BAR - sum(lex[w] for w in found | hidden))) if found or hidden else 0.0)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64")} | out | {"toxic": [int(s >= threshold) for s in out["score"]]})[["doc_id", "score", "toxic", "terms", "restored"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"]} | out | {"toxic": [int(s >= threshold) for s in out["score"]]})[["doc_id", "score", "toxic", "terms", "restored"]]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, toxic int, terms array<string>, restored int")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, score double, toxic int, terms array<string>, restored int")

@@ -599,3 +599,72 @@ def test_running_sums(spark):
     rows = [(g, i, i % 7) for g in "ab" for i in range(0, 50, 1 + (g == "b"))]
     out = running(spark.createDataFrame(rows, "g string, i long, v long"), ["g"], "i", "v", "before", width=8).collect()
     assert {(r["g"], r["i"]): r["before"] for r in out} == {(g, i): sum(w for h, k, w in rows if h == g and k < i) for g, i, _ in rows}
+
+
+def test_skipped_lattices_hold_no_word():
+    """Whatever possible() rules out, decoding finds nothing in it either."""
+    words_ = ["idiot", "scum", "moron", "bill"]
+    n = toxicity.gram_counts([" ".join([*words_, "banana cabana"] * 50)])
+    reader = toxicity.Restorer(toxicity.char_model(list(enumerate(n)), words_), dict.fromkeys(words_, 3.0))
+    r = np.random.default_rng(4)
+    skipped = 0
+    for i in range(3000):
+        w = list(r.choice([*words_, "banana", "scam", "lido", "bild"]))
+        for k, c in enumerate(w):
+            signs = [s for s, x in toxicity.LEET.items() if c in x]
+            if signs and r.random() < 0.4:
+                w[k] = r.choice(signs)
+            w[k] *= 1 + int(r.random() < 0.2)
+        token = r.choice(["", ".", "-", "!"]).join(w) + r.choice(["", "!", "s", "1"])
+        if not reader.possible(token):
+            skipped += 1
+            got = toxicity.decode(token, reader.cost)
+            assert not set(words_) & {*got.split(), got.replace(" ", "")}, token
+    assert skipped > 300
+
+
+def test_toxicity_is_linear():
+    import time
+
+    reader = toxicity.Restorer(np.zeros((toxicity.SIZE,) * 3), {"idiot": 3.0})
+    for t in ("1." * 500_000, "a1" * 500_000, "x " * 300_000, "ß" * 1_000_000, "a-" * 400_000):
+        began = time.time()
+        assert reader.found(t) == (set(), set())
+        assert time.time() - began < 6, t[:4]
+    t = text(1, 4000) + " 1 x! idi0t " + text(2, 3000)
+    assert (toxicity.long_counts(t, 100) == toxicity.gram_counts([t])).all() and (toxicity.long_counts(t, 7) == toxicity.gram_counts([t])).all()
+
+
+def test_lexicon_matches_brute_force(abuse):
+    df, labels = abuse
+    marks = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    seen = {}
+    for r in df.collect():
+        if r["doc_id"] in marks:
+            ws = words(r["text"])
+            for a, w, z in zip(["", *ws], ws, [*ws[1:], ""]):
+                if len(w) > 2 and not w.isdigit():
+                    seen.setdefault((w, a, z), set()).add(marks[r["doc_id"]])
+    bad, clean = Counter(), Counter()
+    for (w, _, _), x in seen.items():
+        bad[w] += max(x)
+        clean[w] += 1 - min(x)
+    b, c = sum(bad.values()), sum(clean.values())
+    p = b / (b + c)
+    want = {}
+    for w in bad:
+        x, y = bad[w], clean[w]
+        ratio = np.log((x + 0.5) / (b + 1) / ((y + 0.5) / (c + 1)))
+        chance = 2 * ((x * np.log(x / ((x + y) * p)) if x else 0) + (y * np.log(y / ((x + y) * (1 - p))) if y else 0))
+        if x >= 5 and ratio >= np.log(9) and chance >= 30 and x > y:
+            want[w] = np.log((x + 0.5) / (y + 0.5))
+    got = dict(toxicity.lexicon(df, labels))
+    assert set(got) == set(want) == {"idiot", "moron", "scum"} and all(abs(got[w] - want[w]) < 1e-9 for w in want)
+
+
+def test_benchmark_in_parts_gives_the_same_spans(spark, monkeypatch):
+    b = spark.createDataFrame([(i, text(i, 20)) for i in range(8)], "item_id long, text string")
+    df = docs(spark, [(i, text(90 + i, 10) + " " + text(i, 20) + " " + text(7 - i % 8, 20), "a") for i in range(8)])
+    whole = sorted(map(tuple, fmindex.leaked_spans(df, b).collect()))
+    monkeypatch.setattr(fmindex, "PHRASES", 5)
+    assert sorted(map(tuple, fmindex.leaked_spans(df, b).collect())) == whole and len(whole) >= 8
