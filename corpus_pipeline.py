@@ -1,4 +1,9 @@
-"""A corpus pipeline: quality filter, near-dedup, decontamination, mixing and binary output, each stage over all that the one before kept."""
+"""A corpus pipeline: quality filter, near-dedup, decontamination, mixing and binary output, each stage over all that the one before kept.
+
+Every stage takes any table with the columns of documents. Rows with a null, empty or blank text go in the first stage
+(and add nothing to mixing); rows with a null id are judged by their text alone and never count as copies; equal rows are
+judged alike; a null source is the source '', very long texts are taken whole, and an empty table stays empty.
+"""
 
 from __future__ import annotations
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,9 +13,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import written
+from quillgraph.llm.common import mapped, written
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile(r"[>\"']")
+#: Elements whose content is no text; each ends with its own end tag, or the page.
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "iframe", "svg")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
 #: An element that begins closes an open one of these kinds.
@@ -32,38 +36,91 @@ class Node:
         self.tag, self.parts, self.hash = tag, [], 0
 
 
+def tokens(text: str) -> Iterator[tuple[str, bool, bool]]:
+    """The parts of a page in turn: (text, False, False), or (name, True, open) of a tag; open: whether it begins an element that may hold others. An end tag's name begins with a slash.
+
+    Comments, declarations and elements without text are passed over. A `<` that begins nothing is text, and so is a tag that
+    never ends. One walk from left to right: where quotes in a tag don't close, they count as other characters do, from there to
+    the end of the page if need be, so no part is walked twice.
+    """
+    at, n, last = 0, len(text), text.rfind(">")
+    closing = {q: text.rfind(q) for q in "\"'"}
+    quoted = True
+    begin = 0  # of text that is not yet given
+    while True:
+        at = text.find("<", at)
+        if at < 0 or at > last and not text.startswith("<!--", at):
+            break
+        if text.startswith("<!--", at):
+            end = text.find("-->", at + 4)
+            end = n if end < 0 else end + 3
+            name = None
+        elif text[at + 1] in "!?":
+            end, name = text.index(">", at) + 1, None
+        elif m := _NAME.match(text, at + 1):
+            name, end = m.group().lower(), m.end()
+            while True:
+                stop = _STOP.search(text, end) if quoted else None
+                if stop is None:
+                    if not quoted:
+                        end = text.index(">", m.end()) + 1
+                        break
+                    # the quotes have swallowed the end of the tag
+                    quoted, end = False, m.end()
+                    continue
+                c = stop.group()
+                if c == ">":
+                    end = stop.end()
+                    break
+                end = text.index(c, stop.end()) + 1 if closing[c] > stop.start() else stop.end()
+        else:
+            at += 1
+            continue
+        if at > begin:
+            yield text[begin:at], False, False
+        if name in _RAW and name is not None:
+            close = _RAW[name].search(text, end)
+            end = close.end() if close else n
+        elif name is not None:
+            yield name, True, not (name in _VOID or name[0] == "/" or text[m.end() : end - 1].rstrip().endswith("/"))
+        at = begin = end
+    if begin < n:
+        yield text[begin:], False, False
+
+
 def parse(text: str) -> Node:
     """The elements of a page as a tree; whatever isn't closed ends with its parent, and stray end tags are passed over."""
     root = Node("")
-    stack, at = [root], 0
-    for m in _TOKEN.finditer(text):
-        if m.start() > at:
-            stack[-1].parts.append(text[at : m.start()])
-        at = m.end()
-        tag = m.group(3)
-        if tag is None:
+    stack = [root]
+    where: dict[str, list[int]] = {}  # tag -> places of its open elements in the stack
+    scopes: list[int] = []  # places of the open elements of _SCOPE
+
+    def cut(i: int) -> None:
+        for node in stack[i:]:
+            where[node.tag].pop()
+            if node.tag in _SCOPE:
+                scopes.pop()
+        del stack[i:]
+
+    for tag, is_tag, opens in tokens(text):
+        if not is_tag:
+            stack[-1].parts.append(tag)
             continue
-        tag = tag.lower()
-        if m.group(2):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+        if tag[0] == "/":
+            if places := where.get(tag[1:]):
+                cut(places[-1])
             continue
-        closes = _CLOSES.get(tag)
-        if closes:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in closes:
-                    del stack[i:]
-                    break
-                if stack[i].tag in _SCOPE:
-                    break
+        if closes := _CLOSES.get(tag):
+            i = max((where[t][-1] for t in closes if where.get(t)), default=0)
+            if i and i >= (scopes[-1] if scopes else 0):
+                cut(i)
         node = Node(tag)
         stack[-1].parts.append(node)
-        if tag not in _VOID and not m.group(4).rstrip().endswith("/"):
+        if opens:
+            where.setdefault(tag, []).append(len(stack))
+            if tag in _SCOPE:
+                scopes.append(len(stack))
             stack.append(node)
-    if at < len(text):
-        stack[-1].parts.append(text[at:])
     return root
 
 
@@ -125,19 +182,19 @@ def subtrees(pages: DataFrame) -> DataFrame:
     def run(it):
         for pdf in it:
             ids, hosts, hashes = [], [], []
-            for i, u, h in zip(pdf["page_id"].astype("Int64").tolist(), pdf["url"], pdf["html"]):
+            for i, u, h in zip(pdf["page_id"].tolist(), pdf["url"], pdf["html"]):
                 found = list(hashed(parse(h))) if h else []
-                ids += [i] * len(found)
+                ids += [None if i is pd.NA else i] * len(found)
                 hosts += [host_of(u)] * len(found)
                 hashes += found
             yield pd.DataFrame({"page_id": pd.array(ids, dtype="Int64"), "host": hosts, "hash": np.array(hashes, dtype=np.int64)})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, host string, hash long")
+    return mapped(pages.select("page_id", "url", "html"), run, "page_id long, host string, hash long")
 
 
 def recurring(trees: DataFrame, least: int) -> DataFrame:
     """(host, hash, n) of elements on `least` pages of a host or more, however many pages the host has."""
-    return trees.groupBy("host", "hash").agg(F.count_distinct(F.coalesce("page_id", F.lit(-1))).alias("n")).where(F.col("n") >= least)
+    return trees.groupBy("host", "hash").agg((F.count_distinct("page_id") + F.max(F.col("page_id").isNull().cast("int"))).alias("n")).where(F.col("n") >= least)
 
 
 def main_text(pages: DataFrame, least: int = 3, most: int = 500_000) -> DataFrame:
@@ -147,7 +204,7 @@ def main_text(pages: DataFrame, least: int = 3, most: int = 500_000) -> DataFram
     host, be they few or many of its pages; the outermost recurring element goes with all that is in it (removed: how many).
     Heads, scripts and styles are no text. Pages that are null or empty have the text ''; a null or odd url has the host
     ''; rows with a null id count as one page of their host, repeated rows of an id as one, and each is returned. Other
-    columns are ignored; an empty table gives no rows. Up to `most` recurring elements are broadcast; more are joined.
+    columns are ignored; an empty table gives no rows. A very long page is read in time linear in its length. Up to `most` recurring elements are broadcast; more are joined.
     """
     trees = written(subtrees(pages), "subtrees")
     found = written(recurring(trees, least).select("host", "hash"), "recurring")
@@ -164,20 +221,21 @@ def main_text(pages: DataFrame, least: int = 3, most: int = 500_000) -> DataFram
             for pdf in it:
                 yield from _extract(pdf, [shared.value.get(host_of(u), frozenset()) for u in pdf["url"]])
 
-        return base.mapInPandas(known, schema)
+        return mapped(base, known, schema)
     lists = trees.join(found, ["host", "hash"], "left_semi").groupBy("host", "page_id").agg(F.collect_set("hash").alias("gone"))
 
     def hosted(it):
         for pdf in it:
-            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "host": [host_of(u) for u in pdf["url"]], "url": pdf["url"], "html": pdf["html"]})
+            yield pd.DataFrame({"page_id": pdf["page_id"], "host": [host_of(u) for u in pdf["url"]], "url": pdf["url"], "html": pdf["html"]})
 
     def joined(it):
         for pdf in it:
-            yield from _extract(pdf, [frozenset() if g is None else set(g.tolist()) for g in pdf["gone"]])
+            yield from _extract(pdf, [frozenset() if g is None else set(g) for g in pdf["gone"]])
 
-    named = base.mapInPandas(hosted, "page_id long, host string, url string, html string")
+    named = mapped(base, hosted, "page_id long, host string, url string, html string")
     same = (named["host"] == lists["host"]) & named["page_id"].eqNullSafe(lists["page_id"])
-    return named.join(lists, same, "left").select(named["page_id"], "url", "html", "gone").mapInPandas(joined, schema)
+    rows = named.join(lists, same, "left").select(named["page_id"], "url", "html", "gone")
+    return mapped(rows, joined, schema)
 
 
 def _extract(pdf: pd.DataFrame, gone: list):
@@ -192,4 +250,4 @@ def _extract(pdf: pd.DataFrame, gone: list):
             t, n = "", 0
         texts.append(t)
         removed.append(n)
-    yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "host": [host_of(u) for u in pdf["url"]], "removed": np.array(removed, dtype=np.int32), "text": texts})
+    yield pd.DataFrame({"page_id": pdf["page_id"], "host": [host_of(u) for u in pdf["url"]], "removed": np.array(removed, dtype=np.int32), "text": texts})

@@ -1,6 +1,7 @@
 """Every operator against brute force or a round trip, and against nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import itertools
+import re
 import zlib
 from collections import Counter
 
@@ -668,3 +669,82 @@ def test_benchmark_in_parts_gives_the_same_spans(spark, monkeypatch):
     whole = sorted(map(tuple, fmindex.leaked_spans(df, b).collect()))
     monkeypatch.setattr(fmindex, "PHRASES", 5)
     assert sorted(map(tuple, fmindex.leaked_spans(df, b).collect())) == whole and len(whole) >= 8
+
+
+def test_templates_match_brute_force(spark):
+    """Pages of nested elements, each counted and removed by comparing its own markup, which is the same wherever the element is."""
+    r = np.random.default_rng(8)
+    common = [f"<div><p>{text(i, 4)}</p><ul><li>{text(i + 50, 2)}</li></ul></div>" for i in range(6)] + ["<p>" + text(90 + i, 3) + "</p>" for i in range(4)]
+    rows, made = [], []
+    for i in range(40):
+        parts = [f"<section><p>{text(1000 + 7 * i + k, 5)}</p>{common[r.integers(10)]}</section>" if r.random() < 0.5 else common[r.integers(10)] for k in range(5)]
+        made.append((f"h{i % 3}", parts))
+        rows.append((i, f"https://h{i % 3}/x", "<body>" + "".join(parts) + "</body>"))
+
+    def elements(html):
+        """(begin, end) of every element, by a stack of tags."""
+        open_, out = [], []
+        for m in re.finditer(r"<(/?)(\w+)>", html):
+            if m[1]:
+                out.append((open_.pop(), m.end()))
+            else:
+                open_.append(m.start())
+        return out
+
+    pages_of = {}
+    for i, u, h in rows:
+        for a, b in elements(h):
+            pages_of.setdefault((u, h[a:b]), set()).add(i)
+    want = {}
+    for i, u, h in rows:
+        gone, at, out = 0, 0, []
+        for a, b in sorted(elements(h), key=lambda s: (s[0], -s[1])):
+            if a >= at and not h[a:b].startswith("<body>") and len(pages_of[u, h[a:b]]) >= 3:
+                out.append(h[at:a])
+                gone, at = gone + 1, b
+        left = "".join(out) + h[at:]
+        want[i] = (gone, "\n".join(x for x in re.split(r"(?:<[^>]*>)+", left) if x))
+    for most in (1000, 0):
+        assert {x["page_id"]: (x["removed"], x["text"]) for x in templates.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), most=most).collect()} == want
+
+
+def test_broken_pages_are_read_in_linear_time():
+    import time
+
+    n = 1_000_000
+    for h in ("<a " * (n // 3), "<a \"" * (n // 4), "<a '\"" * (n // 5) + ">", '<a "<a" ' * (n // 8) + "'>'", "<b>" * (n // 6) + "</i>" * (n // 8), "<!" * (n // 2), "<script " * (n // 8), "<li><div>" + "<b>" * (n // 8) + "<li></li>" * (n // 18), "<!--" * (n // 4), "<" * n, "<p>" * (n // 3), "&" * n, "</a" * (n // 3)):
+        began = time.time()
+        root = templates.parse(h)
+        templates.hashed(root)
+        templates.text_of(root)
+        assert time.time() - began < 8, h[:12]
+    assert templates.text_of(templates.parse("<p title='a > b'>x</p><img alt=\"it's\">y<br/>z <a <b>q</b> 1 < 2"))[0].split() == ["x", "y", "z", "q", "1", "<", "2"]
+
+
+def test_chat_odd_tables(spark):
+    long = " ".join(["wort"] * 60_000)
+    rows = [(1, 0, "user", long, 7, "x"), (1, 1, "assistant", "a b", 7, "x"), (1, 1, "assistant", "c d", 7, "x"), (2, 0, None, None, 7, "x"), (2, None, "user", "x", 7, "x"), (None, None, None, None, None, None), (1, 1, "assistant", "a b", 7, "x")]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, up long, rank string")
+    got = {(r["conv_id"], r["rank"]): (r["score"], r["text"]) for r in chat.branch_conversations(chat.reply_tree(c)).collect()}
+    # of two paths that score alike the lesser leaf comes first
+    assert got == {(1, 1): (2, f"<|user|>\n{long}\n<|assistant|>\na b\n"), (1, 2): (2, f"<|user|>\n{long}\n<|assistant|>\nc d\n"), (2, 1): (0, "<|user|>\n\n")}
+
+
+def test_benchmark_with_clashing_columns(spark):
+    b = spark.createDataFrame([(1, text(1), 5, "x"), (1, text(1), 5, "x")], "doc_id long, text string, start long, lang string")
+    assert {r["doc_id"] for r in fmindex.leaked_spans(odd(spark), b).collect()} == {1, 4, 8}
+
+
+def test_pipeline_odd_tables(spark, sf):
+    import corpus_pipeline as P
+
+    for first in (odd(spark).select("doc_id", "text", "lang", "source", "n_chars"), empty(spark).select("doc_id", "text", "lang", "source", "n_chars")):
+        docs_ = first
+        for name, stage in P.STAGES:
+            out = stage(spark, docs_, sf)
+            assert name == "binary" or out.columns == first.columns
+            out = out.persist()
+            assert first.limit(1).count() or out.count() == 0
+            # each stage stands any table, whatever the one before kept
+            assert stage(spark, first, sf).count() >= 0
+            docs_ = out
