@@ -20,7 +20,7 @@ from quillgraph.llm.common import TOKENIZERS, encode_bytes, encoder, mapped
 
 #: Ids of a block, and blocks coded in lockstep; together they bound a task's memory.
 BLOCK = 8192
-LANES = 160
+LANES = 256
 ALPHABET = 1 << 16
 _SLOT, _ID = 15, 20
 #: The order-0 intervals are renewed after so many ids.
@@ -97,7 +97,7 @@ def _plan(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     seen[order] = np.arange(n) - first
     f2, f1 = _split(_FIRST[0] + _MORE * n2, _FIRST[1] + _MORE * n1, sum(_FIRST) + _MORE * seen)
     miss = np.flatnonzero(slot == 2)
-    at = np.arange(n) + np.searchsorted(miss, np.arange(n))
+    at = np.arange(n) + np.cumsum(slot == 2) - (slot == 2)
     m = n + len(miss)
     start, size, bits = np.empty(m, dtype=np.int32), np.empty(m, dtype=np.int32), np.full(m, _SLOT, dtype=np.int8)
     start[at] = np.where(slot == 0, 0, np.where(slot == 1, f2, f2 + f1))
@@ -107,50 +107,52 @@ def _plan(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     y = x[miss].astype(np.int64)
     lo, width = y << (_ID - 16), np.full(len(y), 1 << (_ID - 16))
     cuts = [*_renewals(n), n]
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        i, j = np.searchsorted(miss, (a, b))
+    order = np.argsort(x, kind="stable")
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.append(0, np.cumsum(np.diff(x[order]) != 0))
+    kinds = int(rank[order[-1]]) + 1
+    ends = np.searchsorted(miss, cuts).tolist()
+    for a, i, j in zip(cuts[:-1], ends[:-1], ends[1:]):
         if i < j:
-            # the same intervals as _below(), for these ids alone
-            before, extra, z = np.sort(x[:a], kind="stable"), ((1 << _ID) - ALPHABET) // a, x[miss[i:j]]
-            lo[i:j] = y[i:j] + extra * np.searchsorted(before, z, side="left")
-            end = y[i:j] + 1 + extra * np.searchsorted(before, z, side="right")
-            width[i:j] = np.where(z == ALPHABET - 1, 1 << _ID, end) - lo[i:j]
+            # the same intervals as _below(), for the ids of this block alone
+            less = np.append(0, np.cumsum(np.bincount(rank[:a], minlength=kinds)))
+            extra, z = ((1 << _ID) - ALPHABET) // a, rank[miss[i:j]]
+            lo[i:j] = y[i:j] + extra * less[z]
+            end = y[i:j] + 1 + extra * less[z + 1]
+            width[i:j] = np.where(y[i:j] == ALPHABET - 1, 1 << _ID, end) - lo[i:j]
     start[to], size[to] = lo, width
     return start, size, bits
 
 
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Codes of blocks; the steps of all are taken together, the longest plan first."""
-    plans = [_plan(b) if len(b) else (np.empty(0, np.int32),) * 3 for b in blocks]
-    rank = sorted(range(len(blocks)), key=lambda i: -len(plans[i][0]))
-    lengths = np.array([len(plans[i][0]) for i in rank])
-    lanes, steps = len(blocks), int(lengths[0]) if len(lengths) else 0
+    """Codes of blocks, one lane each; the steps of all are taken together. What a lane's plan doesn't fill are steps that change nothing."""
+    lanes, most = len(blocks), 2 * max(map(len, blocks), default=0)
+    start, bits = np.zeros((most, lanes), dtype=np.int32), np.zeros((most, lanes), dtype=np.int8)
+    size = np.ones((most, lanes), dtype=np.int32)
+    steps = room = 0
+    for lane, b in enumerate(blocks):
+        if len(b):
+            plan = _plan(b)
+            n = len(plan[0])
+            start[:n, lane], size[:n, lane], bits[:n, lane] = plan
+            steps, room = max(steps, n), max(room, int(plan[2].sum(dtype=np.int64)) // _SHIFT + 8)
     if not steps:
         return [b""] * lanes
-    start, size, bits = (np.zeros((steps, lanes), dtype=d) for d in (np.int32, np.int32, np.int8))
-    for lane, i in enumerate(rank):
-        n = len(plans[i][0])
-        start[:n, lane], size[:n, lane], bits[:n, lane] = plans[i]
-    room = int(bits.sum(axis=0, dtype=np.int64).max()) // _SHIFT + 8
-    del plans
     digits = np.zeros(lanes * room, dtype=np.int64)
     put = np.arange(lanes) * room
     low, span = np.zeros(lanes, dtype=np.int64), np.full(lanes, 1 << _TOP, dtype=np.int64)
-    active = np.searchsorted(-lengths, -np.arange(steps), side="left").tolist()
-    for t in range(steps):
-        n = active[t]
-        r = span[:n] >> bits[t, :n]
-        lo = low[:n]
-        lo += r * start[t, :n]
-        r *= size[t, :n]
-        span[:n] = r
-        out = (r < (1 << (_TOP - _SHIFT))).nonzero()[0]
+    full = 1 << (_TOP - _SHIFT)
+    for first, width, by in zip(start[:steps], size[:steps], bits[:steps]):
+        span >>= by
+        low += span * first
+        span *= width
+        out = (span < full).nonzero()[0]
         if len(out):
-            v = lo[out]
+            v = low[out]
             where = put[out]
             digits[where] = v >> (_TOP - _SHIFT)
             put[out] = where + 1
-            lo[out] = (v & _LOW) << _SHIFT
+            low[out] = (v & _LOW) << _SHIFT
             span[out] <<= _SHIFT
     digits[put] = low >> (_TOP - _SHIFT)
     digits[put + 1] = (low & _LOW) << (2 * _SHIFT - _TOP)
@@ -159,11 +161,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     for j in range(int(used.max()) - 1, 0, -1):  # carries that were put off
         digits[:, j - 1] += digits[:, j] >> _SHIFT
         digits[:, j] &= 0xFFFFFFFF
-    out_ = [b""] * lanes
-    for lane, i in enumerate(rank):
-        if lengths[lane]:
-            out_[i] = digits[lane, : used[lane]].astype(">u4").tobytes().rstrip(b"\0")
-    return out_
+    return [digits[lane, : used[lane]].astype(">u4").tobytes().rstrip(b"\0") if len(b) else b"" for lane, b in enumerate(blocks)]
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
