@@ -224,7 +224,7 @@ def _plain(path: str, name: str):
 
 
 #: Unicode's white space, and the place before the last of several that something else follows: the vocabulary's pattern looks ahead there.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LOOK = re.compile(f"[{_SPACE}](?=[{_SPACE}][^{_SPACE}])")
 
 
