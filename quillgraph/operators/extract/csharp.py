@@ -17,9 +17,11 @@ _WRAPPERS = frozenset("Nullable List IList IEnumerable ICollection IReadOnlyList
 _VERBS = {"HttpGet": "GET", "HttpPost": "POST", "HttpPut": "PUT", "HttpDelete": "DELETE", "HttpPatch": "PATCH"}
 _MAPS = {"MapGet": "GET", "MapPost": "POST", "MapPut": "PUT", "MapDelete": "DELETE", "MapPatch": "PATCH"}
 _LIFETIMES = frozenset("AddScoped AddTransient AddSingleton".split())
-_FEATURES_TYPED = frozenset("AddDbContext AddDbContextPool AddDbContextFactory AddHostedService AddHttpClient AddValidatorsFromAssemblyContaining AddIdentity AddIdentityCore AddDefaultIdentity AddAutoMapper AddGrpcClient".split())
-_FEATURES = frozenset("AddControllers AddControllersWithViews AddRazorPages AddMvc AddEndpointsApiExplorer AddSwaggerGen AddOpenApi AddAuthentication AddAuthorization AddCors AddSignalR AddHealthChecks AddMemoryCache AddDistributedMemoryCache AddResponseCaching AddResponseCompression AddSession AddLogging AddOptions AddHttpContextAccessor AddProblemDetails AddRateLimiter AddOutputCache AddAntiforgery AddLocalization AddGrpc".split())
-_MIDDLEWARE = frozenset("UseRouting UseEndpoints UseAuthentication UseAuthorization UseCors UseStaticFiles UseHttpsRedirection UseHsts UseExceptionHandler UseDeveloperExceptionPage UseSwagger UseSwaggerUI UseSession UseResponseCaching UseResponseCompression UseWebSockets UseRateLimiter UseOutputCache UseStatusCodePages UseMvc UseIdentityServer".split())
+#: Registrations whose type argument names a type of the project; without one they tell nothing.
+_FEATURES_TYPED = frozenset("UseStartup AddHttpClient AddHostedService AddSchemaTransformer AddOperationTransformer AddDocumentTransformer AddDbContextCheck AddPooledDbContextFactory AddDbContextPool AddDbContextFactory AddDbContext".split())
+#: Registrations and middleware that are known by their name alone, which is then looked up without its verb.
+_FEATURES = frozenset("Add" + x for x in "SwaggerGen SignalR Session Routing ResponseCompression ResponseCaching RazorPages RateLimiter ProblemDetails OutputCache OpenApi MvcCore Mvc MemoryCache HttpContextAccessor HealthChecks EndpointsApiExplorer DistributedMemoryCache DatabaseDeveloperPageExceptionFilter Cors ControllersWithViews Controllers Authorization Authentication ApiVersioning Antiforgery".split())
+_MIDDLEWARE = frozenset("Use" + x for x in "Hsts Mvc Cors Swagger SwaggerUI Session Routing Endpoints WebSockets StaticFiles RateLimiter OutputCache Antiforgery IdentityServer Authorization Authentication HttpsRedirection ExceptionHandler DeveloperExceptionPage ResponseCompression ResponseCaching".split())
 
 
 def visibility_of(mods: set[str]) -> str:
@@ -452,14 +454,15 @@ class CSharp:
                     if self.text(k) == "typeof" and self.text(k + 1) == "(":
                         n, _ = self.dotted(k + 2)
                         self.a.edge(scope, "registeredas", "unresolved", n.rpartition(".")[2], self.t[k].start, "heuristic", "low", f"di:{name}:typeof")
-        elif name in _FEATURES_TYPED and args:
-            self.a.edge(scope, "registeredas", "unresolved", args[-1][0] if name == "AddHttpClient" else args[0][0], at, "heuristic", "high", f"feature:{name}")
-        elif name in _FEATURES or (name in _FEATURES_TYPED and not args):
-            self.a.edge(scope, "registeredas", "external", name, at, "heuristic", "high", f"feature:{name}")
-        elif name in _MIDDLEWARE:
-            self.a.edge(scope, "registeredas", "external", name, at, "heuristic", "high", f"middleware:{name}")
+        elif name in _FEATURES_TYPED:
+            if args:
+                self.a.edge(scope, "registeredas", "unresolved", args[0][0], at, "heuristic", "high", f"key:feature:{name}")
+        elif name in _FEATURES:
+            self.a.edge(scope, "registeredas", "unresolved", name[3:], at, "heuristic", "high", f"key:feature:{name}")
         elif name == "UseMiddleware" and args:
-            self.a.edge(scope, "registeredas", "unresolved", args[0][0], at, "heuristic", "high", "middleware:UseMiddleware")
+            self.a.edge(scope, "registeredas", "unresolved", args[0][0], at, "heuristic", "high", "key:middleware")
+        elif name in _MIDDLEWARE:
+            self.a.edge(scope, "registeredas", "unresolved", name[3:], at, "heuristic", "high", "key:middleware")
         elif name in _MAPS and g + 1 < len(self.t) and self.t[g + 1].kind == "s":
             prefix = ""
             k = i - 1

@@ -22,7 +22,7 @@ def rows(path: str, language: str, source: str) -> list[dict]:
     module = {"row": "symbol", "local_key": path, "name": path, "qualified_name": path, "kind": "module", "start_byte": 0, "end_byte": 0, "start_line": 1, "start_column": 0, "end_line": 1, "end_column": 0, "visibility": "default", "is_partial": False, "is_record": False, "roles": [], "is_exported": False, "top_level": False, "pos": -1, "status": "ok"}
     try:
         a = analyze(path, language, source)
-    except (IndexError, KeyError, ValueError, RecursionError) as e:
+    except Exception as e:  # one file must not end the job; its status says what went wrong
         return [module | {"relative_path": path, "language": language, "status": f"{type(e).__name__}: {e}"}]
     out = [module]
     seen = set()

@@ -22,10 +22,12 @@ SMALL = 100_000
 
 @dataclass(frozen=True)
 class Caps:
+    """Bounds of a search. There is none on its time unless one is given: the answer must not depend on the clock."""
+
     depth: int = 10
     nodes: int = 500
     edges: int = 2000
-    seconds: float = 5.0
+    seconds: float = float("inf")
 
 
 @dataclass
@@ -133,10 +135,15 @@ def path_to(reached: DataFrame, target: str, depth: int) -> DataFrame:
     return out.select(F.col("depth").alias("hop"), "symbol_id", "via_kind", "via_confidence", "via_provenance").distinct().orderBy("hop")
 
 
-def trace(g: Graph, source: str, target: str, caps: Caps = Caps(), **filters) -> DataFrame:
-    """The shortest path from source to target, a row for each node; no rows if there is none within the caps."""
+def traced(g: Graph, source: str, target: str, caps: Caps = Caps(), **filters) -> tuple[DataFrame, str | None]:
+    """The shortest path from source to target, a row for each node, and the cap that stopped the search, if one did: without rows and without a cap, there is no path."""
     got = bfs(adjacency(g), source, target, caps, **filters)
-    return path_to(got.reached if got.found else got.reached.limit(0), target, caps.depth)
+    return path_to(got.reached if got.found else got.reached.limit(0), target, caps.depth), got.truncated
+
+
+def trace(g: Graph, source: str, target: str, caps: Caps = Caps(), **filters) -> DataFrame:
+    """The path of traced() alone."""
+    return traced(g, source, target, caps, **filters)[0]
 
 
 def impact(g: Graph, symbol: str, caps: Caps = Caps(), **filters) -> Outcome:

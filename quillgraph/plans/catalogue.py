@@ -203,12 +203,12 @@ def adjacency(spark, d):
     return a.groupBy("node").agg(F.count("*").alias("edges"), F.count_distinct("neighbour").alias("neighbours"))
 
 
-_OPEN = traverse.Caps(depth=3, nodes=50_000, edges=90_000, seconds=3600)
+_OPEN = traverse.Caps(depth=3, nodes=50_000, edges=90_000)
 
 
 @query(V("select id as symbol_id, depth from best", True, _walk("c1", 10)))
 def bfs_capped(spark, d):
-    got = traverse.bfs(traverse.adjacency(mapped.graph(spark, d)), "c1", caps=traverse.Caps(seconds=3600))
+    got = traverse.bfs(traverse.adjacency(mapped.graph(spark, d)), "c1", caps=traverse.Caps())
     return got.reached.select("symbol_id", "depth")
 
 
@@ -218,8 +218,8 @@ def trace_path(spark, d):
     g = mapped.graph(spark, d)
     a = traverse.adjacency(g)
     first = a.where("node = 'c2'").select(F.col("neighbour").alias("node")).join(a.where("kind = 'calls'"), "node").agg(F.min("neighbour")).first()[0]
-    path = traverse.trace(g, "c2", first, traverse.Caps(seconds=3600)) if first else spark.range(0).select(F.lit(0).alias("hop"))
-    near = traverse.bfs(a, "c2", caps=traverse.Caps(depth=2, seconds=3600)).reached
+    path = traverse.trace(g, "c2", first, traverse.Caps()) if first else spark.range(0).select(F.lit(0).alias("hop"))
+    near = traverse.bfs(a, "c2", caps=traverse.Caps(depth=2)).reached
     return near.agg(F.count("*").alias("nodes")).crossJoin(path.agg(F.max("hop").alias("hops")))
 
 
@@ -232,7 +232,7 @@ def impact(spark, d):
 @query(V("select b.id as symbol_id, b.depth, f.relative_path as path, s.start_line, s.end_line from best b left join symbols s on s.id = b.id left join files f on f.id = s.file_id", True, _walk("p3", 2, True)))
 def impact_rows(spark, d):
     g = mapped.graph(spark, d)
-    return traverse.reached_rows(g, traverse.impact(g, "p3", traverse.Caps(depth=2, seconds=3600)).reached).select("symbol_id", "depth", "path", "start_line", "end_line")
+    return traverse.reached_rows(g, traverse.impact(g, "p3", traverse.Caps(depth=2)).reached).select("symbol_id", "depth", "path", "start_line", "end_line")
 
 
 _BOTH = _walk("c3", 2) + ", " + _walk("c3", 2, True).replace("walk", "back").replace("best", "rear")
@@ -240,7 +240,7 @@ _BOTH = _walk("c3", 2) + ", " + _walk("c3", 2, True).replace("walk", "back").rep
 
 @query(V("select id as symbol_id, min(depth) as depth from (select * from best union all select * from rear) group by 1", True, _BOTH))
 def neighbourhood(spark, d):
-    return traverse.neighbourhood(mapped.graph(spark, d), "c3", 2, traverse.Caps(depth=2, seconds=3600))[0]
+    return traverse.neighbourhood(mapped.graph(spark, d), "c3", 2, traverse.Caps(depth=2))[0]
 
 
 @query(
@@ -480,12 +480,12 @@ def tree_snapshot(spark, d):
     return tree.tree_snapshot(x, "path", "text", "source")
 
 
-@query("select 's' || s_suppkey as id, s_name as root_path, coalesce(c_mktsegment, s_name) as name, 1 as created_at from supplier left join customer on c_custkey = s_suppkey and c_custkey > 10 union all select 'c' || c_custkey, c_name, c_mktsegment, 2 from customer where c_custkey > 10 and not exists (select 1 from supplier where s_suppkey = c_custkey)")
+@query("select 's' || s_suppkey as id, s_name as root_path, coalesce(c_mktsegment, s_name) as name, 1 as created_at from supplier left join customer on c_custkey = s_suppkey union all select 'c' || c_custkey, c_name, c_mktsegment, 2 from customer where not exists (select 1 from supplier where s_suppkey = c_custkey)")
 def upsert_project(spark, d):
-    """Projects by root path: suppliers are there, customers from the eleventh on come, under the name of the supplier of their number where there is one."""
+    """Projects by root path: suppliers are there, all customers come, under the name of the supplier of their number where there is one."""
     s = read(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("root_path"), F.col("s_name").alias("name"), F.lit(1).alias("created_at"))
     names = read(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), "s_name")
-    c = read(spark, d, "customer").where("c_custkey > 10").join(names, "c_custkey", "left").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.coalesce("s_name", "c_name").alias("root_path"), F.col("c_mktsegment").alias("name"), F.lit(2).alias("created_at"))
+    c = read(spark, d, "customer").join(names, "c_custkey", "left").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.coalesce("s_name", "c_name").alias("root_path"), F.col("c_mktsegment").alias("name"), F.lit(2).alias("created_at"))
     return incremental.upsert(s, c, "root_path")
 
 
@@ -494,15 +494,16 @@ def migrate_add_columns(spark, d):
     return incremental.migrate(read(spark, d, "part").select("p_partkey", "p_name"), {"visibility": "default", "is_partial": False})
 
 
-_FOUND = "found as (select doc_id, source || '/' || doc_id as p, n_chars + (doc_id % 7 = 0)::int as s, 1::bigint as m, case when doc_id % 7 = 0 then 'new' else 'h' || doc_id end as h from documents where doc_id % 5 <> 0), stored as (select doc_id, source || '/' || doc_id as p, n_chars as s, case when doc_id % 11 = 0 then 0 else 1 end::bigint as m, 'h' || doc_id as h from documents where doc_id % 3 <> 0), changes as (select coalesce(f.p, s.p) as relative_path, case when f.p is null then 'deleted' when s.p is null then 'created' when not ((f.s = s.s and f.m = s.m) or f.h = s.h) then 'modified' end as change from found f full join stored s on f.p = s.p)"
+_FOUND = "found as (select source || '/' || doc_id as p, n_chars + (n_chars > 1000)::int as s, 1::bigint as m, case when n_chars > 1000 then 'new' else 'h' || doc_id end as h from documents), stored as (select case lang when 'de' then source || '/was/' || doc_id else source || '/' || doc_id end as p, n_chars as s, case when n_chars < 200 then 0 else 1 end::bigint as m, 'h' || doc_id as h from documents), changes as (select coalesce(f.p, s.p) as relative_path, case when f.p is null then 'deleted' when s.p is null then 'created' when not ((f.s = s.s and f.m = s.m) or f.h = s.h) then 'modified' end as change from found f full join stored s on f.p = s.p)"
 
 
 def _states(spark, d):
-    """Two states of all documents as a tree: some are new, some gone, some have changed, some were only touched."""
-    x = read(spark, d, "documents").select("doc_id", "n_chars", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("relative_path"), F.concat(F.lit("h"), F.col("doc_id").cast("string")).alias("h"))
-    k = F.col("doc_id")
-    found = x.where(k % 5 != 0).select("relative_path", (F.col("n_chars") + (k % 7 == 0).cast("int")).alias("size_bytes"), F.lit(1).cast("long").alias("modified_ns"), F.when(k % 7 == 0, "new").otherwise(F.col("h")).alias("content_hash"))
-    stored = x.where(k % 3 != 0).select("relative_path", F.col("n_chars").alias("size_bytes"), F.when(k % 11 == 0, 0).otherwise(1).cast("long").alias("modified_ns"), F.col("h").alias("content_hash"))
+    """Two states of all documents as a tree: those in German have moved, the longer ones have grown, the short ones were only touched."""
+    x = read(spark, d, "documents").select("lang", "source", "doc_id", "n_chars", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("relative_path"), F.concat(F.lit("h"), F.col("doc_id").cast("string")).alias("h"))
+    grown = F.col("n_chars") > 1000
+    was = F.when(F.col("lang") == "de", F.concat("source", F.lit("/was/"), F.col("doc_id").cast("string"))).otherwise(F.col("relative_path"))
+    found = x.select("relative_path", (F.col("n_chars") + grown.cast("int")).alias("size_bytes"), F.lit(1).cast("long").alias("modified_ns"), F.when(grown, "new").otherwise(F.col("h")).alias("content_hash"))
+    stored = x.select(was.alias("relative_path"), F.col("n_chars").alias("size_bytes"), F.when(F.col("n_chars") < 200, 0).otherwise(1).cast("long").alias("modified_ns"), F.col("h").alias("content_hash"))
     return found, stored
 
 
