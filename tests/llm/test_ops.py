@@ -386,6 +386,76 @@ def test_edit_distance():
         assert lines.similar_lines(a, b, 0.7) == (lev(a, b) <= int(0.3 * top + 1e-9))
 
 
+def changed(r, line, edits, alphabet):
+    x = list(line)
+    for _ in range(edits):
+        k = r.randint(0, len(x))
+        x[k : k + r.randint(0, 1)] = r.choice(["", r.choice(alphabet)])
+    return "".join(x)
+
+
+def test_many_edit_distances_at_once():
+    import random
+
+    r, pairs = random.Random(2), [("", "", 0), ("", "ab", 2), ("ab", "", 1), ("a" * 700, "a" * 700, 63)]
+    for _ in range(1500):
+        alphabet = r.choice(["ab", "abcdefgh ", "ab\u00e9\u4e2d\U0001d49e "])
+        a = "".join(r.choice(alphabet) for _ in range(r.choice([1, 9, 63, 64, 65, 130, 400])))
+        b = changed(r, a, r.randint(0, 60), alphabet)
+        d = lines.edit_distance(a, b, 1000)
+        pairs.append((a, b, min(63, max(0, d + r.choice([-5, -1, 0, 1, 30])))))
+    want = [lines.edit_distance(a, b, k) <= k for a, b, k in pairs]
+    assert lines.banded(*(list(x) for x in zip(*((a, b) for a, b, _ in pairs))), np.array([k for _, _, k in pairs])).tolist() == want
+    norms = [x for a, b, _ in pairs for x in (a, b)]
+    assert lines.compared(norms, [(2 * i, 2 * i + 1, k) for i, (_, _, k) in enumerate(pairs)]) == want and 300 < sum(want) < 1400
+
+
+def test_similar_lines_in_groups_match_brute_force():
+    import random
+
+    r, norms, groups = random.Random(4), [], []
+    for n in (1, 2, 2, 3, 9, 40, 150):
+        some = ["".join(r.choice("abcdefgh ") for _ in range(r.choice([30, 90, 700]))) for _ in range(max(1, n // 9))]
+        while len(some) < n:
+            some.append(changed(r, r.choice(some), r.randint(0, 5), "abcdefgh "))
+        groups.append((len(norms), len(norms) + n))
+        norms += some
+    hashes = np.ones((len(norms), 2), dtype=np.uint64)
+    got = components(lines.similar_forests(norms, hashes, [g for g in groups if g[1] - g[0] > 1], 17, 0.9), range(len(norms)))
+    want = components(((i, j) for lo, hi in groups for i, j in itertools.combinations(range(lo, hi), 2) if lines.similar_lines(norms[i], norms[j], 0.9)), range(len(norms)))
+    assert got == want
+
+
+def test_counts_of_characters_lose_no_similar_lines():
+    import random
+
+    r, texts = random.Random(5), []
+    for i in range(600):
+        a = text(i, r.choice([2, 5, 12, 60])) + r.choice(["", " x" * 300])
+        texts += [a, changed(r, a, r.randint(0, max(1, len(a) // 4)), "abcd12 \u00e9\U0001d49e")]
+    scan = lines.Scan("\n".join(texts))
+    counts, length = scan.letters()
+    norms = [lines.normalised(x)[0] for x in texts]
+    assert length.tolist() == [len(x) for x in norms]
+    i = np.arange(0, len(texts), 2)
+    may = lines._may(counts, length, i, i + 1, 0.9)
+    similar = np.array([lines.similar_lines(norms[k], norms[k + 1], 0.9) for k in i])
+    assert may[similar].all() and 200 < similar.sum() < 590
+    assert not lines._may(counts, length, i[:-1], i[:-1] + 2, 0.9).all()
+
+
+def test_short_lines_do_not_grow_together_by_chance(spark):
+    import random
+
+    r = random.Random(6)
+    heads = "the tion er ing on re and st of was hand ment qu le be ou ver ich ung ein al in es te".split()
+    rows = [(i, " ".join(r.choice(heads) + r.choice(["", "ha", "ly", "ed"]) for _ in range(9)), "a") for i in range(3000)]
+    edges = lines.sketch_candidates(lines.line_table(docs(spark, rows), sketches=True), 0.9).collect()
+    found = components([(e["a"], e["b"]) for e in edges], {x for e in edges for x in (e["a"], e["b"])})
+    sizes = np.unique(list(found.values()), return_counts=True)[1] if found else np.zeros(1)
+    assert sizes.max() < 600  # 335; without their counts of characters 1673
+
+
 def test_lines_odd_tables(spark):
     got = {(r["doc_id"], r["kept_doc"]) for r in lines.repeated_lines(odd(spark)).collect()}
     assert got == {(8, 1)} and lines.repeated_lines(empty(spark)).count() == 0
