@@ -347,7 +347,7 @@ def resolve_by_name(spark, d):
 
 @query(V(f"select outcome, count(*) as edges from ({_NAMED}) group by 1", before=_REFS))
 def resolution_report(spark, d):
-    return resolve.resolution_report(resolve.resolve_by_name(_refs(spark, d), mapped.symbols(spark, d)))
+    return resolve.resolution_report(_refs(spark, d), mapped.symbols(spark, d))
 
 
 @query(
