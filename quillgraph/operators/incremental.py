@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import scalars as X
+from quillgraph.operators.joins import join_crowded
 
 
 def detect_changes(found: DataFrame, stored: DataFrame, only: DataFrame | None = None, force_full: bool = False) -> DataFrame:
@@ -63,7 +64,7 @@ def affected_set(changes: DataFrame, by_target: DataFrame, by_unresolved: DataFr
 def resolution_snapshot(symbols: DataFrame, files: DataFrame, relationships: DataFrame) -> DataFrame:
     """Symbols, without the stand-ins of files, as resolution needs them, with whether an exports relationship ends there."""
     exported = relationships.where((F.col("kind") == "exports") & F.col("target_symbol_id").isNotNull()).select(F.col("target_symbol_id").alias("id")).distinct().withColumn("exported", F.lit(True))
-    s = symbols.where("kind <> 'module'").join(files.select(F.col("id").alias("file_id"), "relative_path"), "file_id").join(exported, "id", "left")
+    s = join_crowded(symbols.where("kind <> 'module'"), files.select(F.col("id").alias("file_id"), "relative_path"), "file_id").join(exported, "id", "left")
     return s.select("id", "relative_path", "name", "qualified_name", "kind", "language", F.coalesce("exported", F.lit(False)).alias("exported"))
 
 
