@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import scalars as X
 from quillgraph.model import CONFIDENCES, SCHEMA_VERSION, Graph
+from quillgraph.operators.joins import join_crowded
 
 
 class NotFound(LookupError):
@@ -31,8 +32,9 @@ SYMBOL_COLUMNS = ("id", "name", "qualified_name", "kind", "language", "relative_
 
 def with_paths(g: Graph, symbols: DataFrame | None = None) -> DataFrame:
     """Symbols with the path of their file; those of no known file are left out."""
-    s = g.symbols if symbols is None else symbols
-    return s.join(g.files.select(F.col("id").alias("file_id"), "relative_path"), "file_id").select(*SYMBOL_COLUMNS)
+    f = g.files.select(F.col("id").alias("file_id"), "relative_path")
+    s = join_crowded(g.symbols, f, "file_id") if symbols is None else symbols.join(f, "file_id")
+    return s.select(*SYMBOL_COLUMNS)
 
 
 def symbol_by_id(g: Graph, symbol_id: str) -> DataFrame:
@@ -123,7 +125,7 @@ def unresolved_rows(g: Graph, target_text: str | None = None, source: str | None
         u = u.where(F.col("source_symbol_id") == source)
     f = g.files.select(F.col("id").alias("source_file_id"), F.col("relative_path").alias("path"))
     s = g.symbols.select(F.col("id").alias("source_symbol_id"), F.col("qualified_name").alias("source_qualified_name"))
-    out = u.join(f, "source_file_id").join(s, "source_symbol_id", "left")
+    out = join_crowded(u, f, "source_file_id").join(s, "source_symbol_id", "left")
     return out.select("source_symbol_id", "source_qualified_name", "path", F.col("relationship_kind").alias("kind"), "target_text", "reason", "confidence", "candidate_count").orderBy("path", "target_text", "source_symbol_id")
 
 
