@@ -68,10 +68,10 @@ def resolution_snapshot(symbols: DataFrame, files: DataFrame, relationships: Dat
     return s.select("id", "relative_path", "name", "qualified_name", "kind", "language", F.coalesce("exported", F.lit(False)).alias("exported"))
 
 
-def resolution_baseline(snapshot: DataFrame, affected: DataFrame, changes: DataFrame) -> DataFrame:
-    """What of a snapshot stays as it is."""
+def resolution_baseline(symbols: DataFrame, files: DataFrame, relationships: DataFrame, affected: DataFrame, changes: DataFrame) -> DataFrame:
+    """What of a snapshot stays as it is: its rows of files that are neither affected nor deleted."""
     gone = affected.select("relative_path").unionByName(changes.where("change = 'deleted'").select("relative_path")).distinct()
-    return snapshot.join(gone, "relative_path", "left_anti")
+    return resolution_snapshot(symbols, files.join(gone, "relative_path", "left_anti"), relationships)
 
 
 def inbound_to_unresolved(relationships: DataFrame, symbols: DataFrame, deleted: DataFrame) -> DataFrame:

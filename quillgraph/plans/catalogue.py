@@ -563,7 +563,7 @@ def resolution_snapshot(spark, d):
 @query(V(f"select * from ({_SNAP}) where relative_path not in (select relative_path from affected) and relative_path <> 'src/part.ts'", before=_AFF))
 def resolution_baseline(spark, d):
     g, changes, affected = _affected(spark, d)
-    return incremental.resolution_baseline(incremental.resolution_snapshot(g.symbols, g.files, g.relationships), affected, changes)
+    return incremental.resolution_baseline(g.symbols, g.files, g.relationships, affected, changes)
 
 
 @query(V("select r.source_symbol_id, r.source_file_id, r.kind as relationship_kind, s.name as target_text, 0 as candidate_count, 'target symbol''s file was deleted' as reason, 'unresolved' as confidence from relationships r join symbols s on s.id = r.target_symbol_id where s.file_id = 'fil-nation' and r.source_file_id <> 'fil-nation'"))

@@ -24,3 +24,14 @@ def test_no_task_holds_all_symbols_of_a_file(spark, monkeypatch):
         assert sum(sizes) == n and max(sizes) < n
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_baseline_drops_files_before_symbols_move(spark):
+    """Files that are affected or deleted go before symbols are joined, so symbols are never gathered by path."""
+    symbols = spark.createDataFrame([(f"s{i}", f"f{i % 4}", "n", "q", "class", "csharp") for i in range(12)], "id string, file_id string, name string, qualified_name string, kind string, language string")
+    files = spark.createDataFrame([(f"f{i}", f"src/{i}") for i in range(4)], "id string, relative_path string")
+    rels = spark.createDataFrame([("s2", "exports")], "target_symbol_id string, kind string")
+    affected = spark.createDataFrame([("src/0", "batch")], "relative_path string, why string")
+    changes = spark.createDataFrame([("src/0", "modified"), ("src/3", "deleted")], "relative_path string, change string")
+    got = incremental.resolution_baseline(symbols, files, rels, affected, changes).select("id", "relative_path", "exported").collect()
+    assert sorted(map(tuple, got)) == sorted((f"s{i}", f"src/{i % 4}", i == 2) for i in range(12) if i % 4 in (1, 2))
