@@ -18,6 +18,8 @@ from quillgraph.model import CONFIDENCES, Graph
 
 #: Frontiers are broadcast, and levels cut by a top-k, where the caps keep them below this.
 SMALL = 100_000
+#: So few nodes are a filter on the edges, which goes down to the scans, and below what is aggregated there.
+FEW = 1000
 
 
 @dataclass(frozen=True)
@@ -65,6 +67,12 @@ def adjacency(g: Graph, reverse: bool = False) -> DataFrame:
     return r.select(F.col(a).alias("node"), F.col(b).alias("neighbour"), "kind", "confidence", "provenance", F.col("id").alias("edge_id"))
 
 
+def leaving(edges: DataFrame, nodes: DataFrame, most: int = FEW) -> DataFrame:
+    """Edges that may leave one of nodes(node): no other ones where there are up to `most`, else all."""
+    ids = [r[0] for r in nodes.select("node").distinct().limit(most + 1).collect()]
+    return edges.where(F.col("node").isin(ids)) if len(ids) <= most else edges
+
+
 def bfs(edges: DataFrame, start: str, target: str | None = None, caps: Caps = Caps(), kinds: tuple[str, ...] | None = None, min_confidence: str | None = None) -> Outcome:
     """Search from start, in the order kind, neighbour, edge_id within a node.
 
@@ -84,12 +92,13 @@ def bfs(edges: DataFrame, start: str, target: str | None = None, caps: Caps = Ca
     small = F.broadcast if caps.nodes <= SMALL else (lambda df: df)
     reached, frontier, examined, count, depth, began = seed, seed, 0, 1, 0, time.monotonic()
     while True:
+        nodes = frontier.select(F.col("symbol_id").alias("node"), F.col("pos").alias("from"))
         if depth >= caps.depth:
-            rest = edges.join(small(frontier.select(F.col("symbol_id").alias("node"))), "node", "left_semi")
+            rest = leaving(edges, nodes).join(small(nodes.select("node")), "node", "left_semi")
             return Outcome(reached, False, None if rest.isEmpty() else "max_depth")
         if time.monotonic() - began > caps.seconds:
             return Outcome(reached, False, "max_duration")
-        out = allowed.join(small(frontier.select(F.col("symbol_id").alias("node"), F.col("pos").alias("from"))), "node")
+        out = leaving(allowed, nodes).join(small(nodes), "node")
         # in order, no more than the cap of edges and the one that breaks it: a top-k, not a sort of all
         some = out.orderBy("from", "kind", "neighbour", "edge_id").limit(caps.edges - examined + 1) if caps.edges <= SMALL else out
         known = small(reached.select(F.col("symbol_id").alias("neighbour"), F.lit(True).alias("known")))
