@@ -217,7 +217,8 @@ def trace_path(spark, d):
     """How far the first part is that an order of customer c2 calls: the length of the traced path, beside the number of nodes within two steps."""
     g = mapped.graph(spark, d)
     a = traverse.adjacency(g)
-    first = a.where("node = 'c2'").select(F.col("neighbour").alias("node")).join(a.where("kind = 'calls'"), "node").agg(F.min("neighbour")).first()[0]
+    near = a.where("node = 'c2'").select(F.col("neighbour").alias("node"))
+    first = near.join(traverse.leaving(a.where("kind = 'calls'"), near), "node").agg(F.min("neighbour")).first()[0]
     path = traverse.trace(g, "c2", first, traverse.Caps()) if first else spark.range(0).select(F.lit(0).alias("hop"))
     near = traverse.bfs(a, "c2", caps=traverse.Caps(depth=2)).reached
     return near.agg(F.count("*").alias("nodes")).crossJoin(path.agg(F.max("hop").alias("hops")))
